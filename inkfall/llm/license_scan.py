@@ -85,10 +85,9 @@ def scan_licenses(docs: DataFrame, phrases: dict = PHRASES, templates: dict = TE
     rare = sorted({w for _, t in ordered for w in t[: len(t) - math.ceil(tau * len(t) - 1e-9) + 1]})
 
     low = F.col("low")
-    sides = [rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F]){_GAP.join(p.split())}(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])" for p in phrases]
     df = docs.select("doc_id", ascii_lower(F.col("text")).alias("low"))
-    has_any = low.rlike("|".join(sides))
-    near = low.rlike("|".join(rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F]){w}(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])" for w in rare))
+    has_any = low.rlike(_whole([_GAP.join(p.split()) for p in phrases]))
+    near = low.rlike(_whole(rare))
     df = df.select(
         "doc_id",
         F.regexp_count(low, F.lit(WORD)).cast("long").alias("n_words"),
@@ -118,6 +117,11 @@ def scan_licenses(docs: DataFrame, phrases: dict = PHRASES, templates: dict = TE
     )
 
 
+def _whole(patterns: list[str]) -> str:
+    """Any of the patterns where it starts and ends with a word."""
+    return rf"(?<!{WORD[:-1]})(?:{'|'.join(patterns)})(?!{WORD[:-1]})"
+
+
 def _contained(ordered: list[str], tau: float):
     return lambda block: _containment(block, ordered, tau)
 
