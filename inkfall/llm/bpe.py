@@ -147,7 +147,7 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _encoded(path: str, digests: bool):
+def _encoded(path: str, digests: bool, decoded: bool):
     def run(batches):
         c = codec(path)
         for batch in batches:
@@ -167,13 +167,13 @@ def _encoded(path: str, digests: bool):
                 else:
                     flat = pa.array(np.frombuffer(b"".join([i for i, _ in got]), dtype="<u4").astype(np.int32))
                     ends = np.cumsum([0, *[len(i) // 4 for i, _ in got]]).astype(np.int32)
-                    cols = [key, count, pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([d for _, d in got], pa.string())]
+                    cols = [key, count, pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([d if decoded else None for _, d in got], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "n_tokens", "ids", "decoded"])
 
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, digests: bool = False, key: str = "doc_id") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, digests: bool = False, key: str = "doc_id", decoded: bool = True) -> DataFrame:
     """key, n_tokens, ids (array of int), decoded of every document; with digests the SHA-256 of both instead.
 
     Encodes as the library does without special tokens around the text, truncation or padding; special
@@ -184,7 +184,8 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False, key: str
     rows = pick(docs, key, "text")
     kind = dict(rows.dtypes)[key]
     out = f"key {kind}, n_tokens long, ids {'string' if digests else 'array<int>'}, decoded string"
-    return rows.mapInArrow(_encoded(path, digests), out).withColumnRenamed("key", key)
+    got = rows.mapInArrow(_encoded(path, digests, decoded), out).withColumnRenamed("key", key)
+    return got if decoded or digests else got.drop("decoded")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
