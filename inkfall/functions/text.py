@@ -86,9 +86,10 @@ def join_hyphenated(c) -> Column:
 def glue_lines(c) -> Column:
     """Lower-case runs on both sides of a line end are joined if they make 4 to 20 letters together.
 
-    The lookahead states the bound: the two runs and the line end take at most 21 characters.
+    Longer pairs are taken over as they are, so that their second run starts no pair of its own.
     """
-    return F.regexp_replace(col(c), r"(?=[a-z]{2,18}\n[a-z]{2,18}(?![a-z]))(?=[a-z\n]{5,21}(?![a-z]))(?<![a-z])([a-z]{2,18})\n([a-z]{2,18})(?![a-z])", "$1$2")
+    short = "|".join(rf"[a-z]{{{n}}}\n[a-z]{{2,{20 - n}}}" for n in range(2, 19))
+    return F.regexp_replace(col(c), rf"(?<![a-z])(?:(?=(?:{short})(?![a-z]))([a-z]+)\n([a-z]+)|([a-z]{{2,}}\n[a-z]{{2,}}))", "$1$2$3")
 
 
 def normalize_whitespace(c) -> Column:
