@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkfall.functions.lazy import pandas_function
+
 from inkfall.functions.text import col
 
 _MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
@@ -41,7 +43,7 @@ def _of_shape(c, shape: str, formats) -> Column:
     return F.transform(F.regexp_extract_all(col(c), F.lit("(?i)" + shape), F.lit(0)), lambda x: parsed(x, formats))
 
 
-@F.pandas_udf("string")
+@pandas_function("string")
 def any_date(s: pd.Series) -> pd.Series:
     """The date somewhere in a free text, as ISO; null where none can be read."""
     from dateutil.parser import parse

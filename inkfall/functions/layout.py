@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkfall.functions.lazy import pandas_function
+
 DELIMITERS = ("\t", "|", ";", ",")
 LEAST_ROWS = 3
 _BORDER = re.compile(r"\s*[+|][-+|]+[+|]\s*$")
@@ -86,7 +88,7 @@ def table_markdown(t: dict) -> str:
     return "\n".join([line(t["headers"]), line(["---"] * len(t["headers"])), *map(line, t["rows"])])
 
 
-@F.pandas_udf(TABLES)
+@pandas_function(TABLES)
 def tables_in(s: pd.Series) -> pd.Series:
     return s.map(lambda t: merged_tables(text_tables(t)))
 

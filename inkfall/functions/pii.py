@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkfall.functions.lazy import pandas_function
+
 from inkfall.functions.text import col
 
 # The shapes of each kind, in the order in which they are tried.
@@ -88,12 +90,12 @@ def redacted(text: str | None, mask: str = "[REDACTED]") -> str | None:
     return "".join([*out, text[at:]])
 
 
-@F.pandas_udf(SPAN)
+@pandas_function(SPAN)
 def pii_spans(s: pd.Series) -> pd.Series:
     return s.map(spans)
 
 
-@F.pandas_udf("string")
+@pandas_function("string")
 def pii_redacted(s: pd.Series) -> pd.Series:
     return s.map(redacted)
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkfall.functions.lazy import pandas_function
+
 # Characters that scanning and typesetting leave behind, and what they stand for.
 SCAN_FIXES = {
     "ﬁ": "fi",
@@ -53,12 +55,12 @@ def like_ignoring_ascii_case(c, part: str) -> Column:
     return ascii_lower(c).like(f"%{part.translate(str.maketrans(_UPPER, _LOWER))}%")
 
 
-@F.pandas_udf("string")
+@pandas_function("string")
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@pandas_function("string")
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 

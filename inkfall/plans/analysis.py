@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkfall.functions.lazy import pandas_function
+
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
@@ -96,7 +98,7 @@ def porter(word: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
+@pandas_function("string")
 def stemmed(s: pd.Series) -> pd.Series:
     """Folded and stemmed terms; meant for the distinct words of a corpus, not for every token."""
     return s.map(lambda w: porter(fold(w)), na_action="ignore")

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkfall.functions.lazy import pandas_function
+
 from inkfall.functions.text import strip_rtf
 
 TEXT = ("txt", "md", "rst", "log", "json", "xml", "yaml", "yml")
@@ -80,7 +82,7 @@ def html_text(raw: str | None) -> dict:
     return {"title": p.title, "text": "\n".join(p.parts)}
 
 
-@F.pandas_udf("title string, text string")
+@pandas_function("title string, text string")
 def html_document(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([html_text(x) for x in s], columns=["title", "text"])
 
@@ -140,7 +142,7 @@ def office_text(kind: str, raw: bytes) -> dict:
         return {"text": None, "title": None, "author": None, "created": None, "modified": None, "error": f"{type(e).__name__}: {e}"}
 
 
-@F.pandas_udf(DOCUMENT)
+@pandas_function(DOCUMENT)
 def office_document(kind: pd.Series, raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([office_text(k, r) for k, r in zip(kind, raw, strict=True)], columns=[x.split()[0] for x in DOCUMENT.split(", ")])
 
