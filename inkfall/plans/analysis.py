@@ -32,10 +32,10 @@ def tokens_of(text: str, stem: bool = False) -> list[str]:
 
 
 def _shape(word: str) -> str:
-    """v for vowels and c for consonants; y is a vowel after a consonant."""
+    """v for vowels and c for consonants; y is a vowel after a consonant, letters beyond a-z count as two consonants."""
     out = ""
     for i, x in enumerate(word):
-        out += "v" if x in "aeiou" or (x == "y" and i and out[-1] == "c") else "c"
+        out += "v" if x in "aeiou" or (x == "y" and i and out[-1] == "c") else "c" if x.isascii() else "cc"
     return out
 
 

@@ -37,12 +37,13 @@ def debounced(changes: DataFrame, gap: str, late: str | None = None, ts: str = "
     """Changes are flushed once nothing has happened for a while, each path with its last event.
 
     A quiet spell is one for all paths. A stream asks for a second key beside the session, a constant one here.
-    Each session's events are folded to one per path as they come, so what a session holds grows with its paths.
+    What a session holds grows with its events, so a gap should be short against their pace.
     """
     held = changes.withWatermark(ts, late) if late else changes
     spans = held.withColumn("every", F.lit(0)).groupBy(F.session_window(ts, gap).alias("w"), "every").agg(F.collect_list(F.struct(F.col(path).alias("path"), F.col(ts).alias("ts"), F.col(event).alias("event"))).alias("seen"))
-    one = spans.select("w.start", F.explode("seen").alias("s")).groupBy("start", F.col("s.path").alias("path")).agg(F.max(F.struct("s.ts", "s.event")).alias("last"))
-    return one.select("start", "path", F.col("last.event").alias("event"))
+    paths = F.array_distinct(F.transform("seen", lambda x: x["path"]))
+    last = F.transform(paths, lambda p: F.struct(p.alias("path"), F.array_max(F.transform(F.filter("seen", lambda x: x["path"] == p), lambda x: F.struct(x["ts"].alias("ts"), x["event"].alias("event"))))["event"].alias("event")))
+    return spans.select("w.start", F.explode(last).alias("s")).select("start", "s.path", "s.event")
 
 
 def debounced_table(changes: DataFrame, gap_seconds: float, ts: str = "ts", path: str = "path", event: str = "event_type", order: str = "event_id") -> DataFrame:
