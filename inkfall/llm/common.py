@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import io
+import json
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent.parent
@@ -75,6 +76,30 @@ def ship(spark: SparkSession) -> None:
     sc._inkfall_shipped = True
 
 
+#: Words of 64 bits that a filter of ids takes in a plan at most.
+FILTER_WORDS = 1 << 20
+
+
+def maybe_among(ids: DataFrame, name: str, column: Column, bits_each: int = 10, hashes: int = 6) -> Column:
+    """Whether a value may be among the ids: a Bloom filter of ten bits an id, 8 MB at most.
+
+    It spares a join the rows that cannot match and decides nothing: beyond its size it only lets more through.
+    """
+    n = ids.count()
+    words = max(1, min(FILTER_WORDS, -(-n * bits_each // 64)))
+    spots = lambda c: [F.pmod(F.xxhash64(F.lit(101 + j), c), F.lit(words * 64).cast("long")) for j in range(hashes)]
+    one = F.lit(1).cast("long")
+    set_bits = ids.select(F.explode(F.array(*spots(F.col(name)))).alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", one, (F.col("at") % 64).cast("int"))).alias("bits"))
+    held = [0] * words
+    for r in set_bits.toLocalIterator():
+        held[r.w] = r.bits
+    array = F.from_json(F.lit(json.dumps(held)), "array<bigint>")
+    out = F.lit(True)
+    for at in spots(column):
+        out = out & (F.call_function("shiftrightunsigned", F.get(array, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")).bitwiseAND(one) == 1)
+    return out
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of undirected links (a, b): a row (node, label) per linked node, label the least.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkfall.llm.common import components, pick, place, plain, ship, table, written
+from inkfall.llm.common import components, maybe_among, pick, place, plain, ship, table, written
 
 WORDS, SIMILARITY = 5, 0.8
 #: 25 bands of 5 components: a pair of similarity 0.8 meets in one with probability 0.99995.
@@ -236,7 +236,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     members = written(rows.join(buckets.select(F.col("bucket").alias("b"), "lead", "n"), F.col("bucket") == F.col("b")).drop("b"), "members")
     pairs = written(members.where("node <> lead").select("node", "lead").distinct(), "pairs")
     nodes = members.select("node").distinct()
-    there = docs.join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
+    # most documents meet no other; a filter of bounded size keeps their texts out of the shuffle
+    there = docs.where(maybe_among(nodes, "node", F.col("doc_id"))).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
     bags = there.mapInArrow(_gathered, "node long, bag array<int>")
     # rows that share a doc_id have a bag each; one that shares no shingles is no harm to the others
     bags = written(bags, "bags")
