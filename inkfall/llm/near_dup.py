@@ -169,33 +169,56 @@ def _gathered(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(value))], names=["node", "bag"])
 
 
+def overlaps(bags: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many values each two of the bags share: products of an incidence matrix, some columns at a time."""
+    owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    _, value, count = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    some = count[value] > 1
+    owner, value = owner[some], column[value[some]]
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    out = np.zeros((len(bags), len(bags)), dtype=np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        i, j = np.searchsorted(value, [lo, lo + columns])
+        part = np.zeros((len(bags), min(columns, int(column[-1]) + 1 - lo)), dtype=np.float32)
+        part[owner[i:j], value[i:j] - lo] = 1
+        out += part @ part.T
+    return out
+
+
+def tree_of(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """(label, least label it hangs together with) over links between places of label."""
+    names, at = np.unique(label, return_inverse=True)
+    a, b, low = at[a], at[b], np.arange(len(names))
+    while len(a):
+        least = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    return [(int(names[i]), int(names[j])) for i, j in enumerate(low) if i != j]
+
+
 def _crossed(similarity: float):
     """Links across components in a bucket's pair of blocks; rows come sorted by bucket and blocks."""
 
     def links(rows):
-        out, size = [], len(rows)
-        group = {x[2]: x[2] for x in rows}
-
-        def top(x):
-            while group[x] != x:
-                group[x] = group[group[x]]
-                x = group[x]
-            return x
-
-        two = rows[0][1][2] != rows[0][1][3]
-        bags = [np.unique(x[4]) for x in rows]
-        for i in range(size):
-            for j in range(i + 1, size):
-                if two and rows[i][3] == rows[j][3]:
-                    continue
-                small, large = sorted((len(bags[i]), len(bags[j])))
-                if small < similarity * large or top(rows[i][2]) == top(rows[j][2]):
-                    continue
-                both = len(np.intersect1d(bags[i], bags[j], assume_unique=True))
-                if both >= similarity * (small + large - both) - 1e-9:
-                    group[top(rows[i][2])] = top(rows[j][2])
-                    out.append((rows[i][2], rows[j][2]))
-        return out
+        """Pairs of labels that are linked: a tree over those that hang together, not every pair."""
+        label = np.array([x[2] for x in rows])
+        if (label == label[0]).all():
+            return []
+        block, bags = np.array([x[3] for x in rows]), [np.unique(x[4]) for x in rows]
+        size = np.array([len(b) for b in bags])
+        shared = overlaps(bags)
+        near = shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-6
+        near &= label[:, None] != label[None, :]
+        if rows[0][1][2] != rows[0][1][3]:
+            near &= block[:, None] != block[None, :]
+        return tree_of(label, *np.nonzero(np.triu(near)))
 
     def run(batches):
         held, last = [], None
