@@ -29,7 +29,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: 25 bands of 5 components: a pair of similarity 0.8 meets in one with probability 0.99995.
 BANDS, ROWS = 25, 5
 #: Characters that are signed together, and members of a bucket that are compared together.
-SLICE_CHARS, BLOCK = 4_000_000, 512
+SLICE_CHARS, BLOCK = 1_000_000, 512
 _U = np.uint64
 _SPACES = np.zeros(0x3002, dtype=bool)
 _SPACES[[*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
@@ -95,6 +95,8 @@ def shingles(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def bagminhash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m: int = BANDS * ROWS) -> np.ndarray:
     """(n, m) signatures of weighted sets given as (owner, element, whole weight) rows; inf for an empty set."""
+    if m > 4096:
+        raise ValueError("a component is drawn by 12 bits")
     sets, elements, low, length, weights = [owner], [element], [np.zeros(len(owner))], [np.ones(len(owner))], [weight]
     i, width = 1, 1
     while len(weight) and (weight > width).any():  # the next interval, [width, 2 * width), for those that reach into it
