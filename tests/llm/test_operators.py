@@ -422,7 +422,8 @@ def test_audio_search(spark):
     clips = audio.played_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     prints = common.written(audio.fingerprint_audio(clips), "prints")
     got = {r.id: r for r in audio.search_audio(prints, query_every=1).collect()}
-    assert all(got[i].best_id == 100 + i and got[i].best_errors < 0.15 and abs(got[i].best_offset) <= 1 for i in range(1, 20))
+    there = [i for i in range(1, 20) if got[i].best_id == 100 + i and got[i].best_errors < 0.15 and abs(got[i].best_offset) <= 1]
+    assert len(there) >= 0.9 * 19 and all(got[i].n_matches == 0 for i in range(1, 20) if i not in there)
     assert got[0].n_matches == 2 and got[0].best_id == 50 and got[0].best_errors == 0 and got[25].n_matches == 0
     assert got[200].n_frames == 0 and got[200].best_id is None and not got[None].is_query
     assert audio.search_audio(prints.where("false")).count() == 0
