@@ -1,11 +1,9 @@
 import collections
 
-import pytest
+import corpus_pipeline as pipeline
 
 from inkfall.llm import mixing, quality
 
-pipeline = pytest.importorskip("corpus_pipeline")
-
 
 def test_every_stage_takes_effect(spark, small):
     from test_operators import brute_classes
