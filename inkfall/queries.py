@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfall.functions import chunks as C
@@ -12,7 +14,6 @@ from inkfall.functions import dates as D
 from inkfall.functions import layout as L
 from inkfall.functions import pii as P
 from inkfall.functions import text as T
-from inkfall.functions import vectors as V
 from inkfall.operators import operations as O
 from inkfall.operators import retrieval as R
 from inkfall.operators import search as S
@@ -282,9 +283,6 @@ def text_tables(s, d):
     return rows.select("doc_id", "n", "x.source", F.size("x.rows").alias("n_rows"), F.array_join("x.headers", " | ").alias("headers"))
 
 
-_PAIR = "'(?i)^([A-Za-z][A-Za-z\\s.,()-]{2,50}):\\s*(.*)$'"
-
-
 @query()
 def form_fields(s, d):
     return L.form_fields(t(s, d, "documents"))
@@ -656,17 +654,10 @@ def debounce_sessions(s, d):
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(s, d):
-    """The same day windows, run as a stream over the table's folder to its end."""
-    import uuid
-
+    """The same day windows, run as a stream over the table's files to its end."""
     name = f"tumbling_{uuid.uuid4().hex}"
-    path = f"{d}/events.parquet"
-    stream = M.event_stream(s, f"{d}/events*.parquet" if not path.startswith("viewfs") else path, s.read.parquet(path))
-    folder = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp()}"
+    stream = M.event_stream(s, f"{d}/events*.parquet", t(s, d, "events"))
+    folder = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp()}"
     M.run_available(M.tumbling(stream, "1 day"), name, f"{folder}/{name}")
     return s.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
