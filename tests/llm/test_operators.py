@@ -357,6 +357,27 @@ def test_quality(spark, odd, empty):
     assert quality.score_documents(table, none).count() == len(rows)
 
 
+def test_repetitions_are_seen():
+    chunk = quality.chunks_of("Wher. Wher. Wher. ofly\0\0\0\0\0\0 Wher.")
+    got = quality.repeats(chunk)[0]
+    raw = bytes(chunk[0])
+    for i in range(quality.CHUNK):
+        gram = raw[i : i + quality.GRAM]
+        back = i - raw.rfind(gram, 0, i + quality.GRAM - 1) if len(gram) == quality.GRAM and gram.strip(b"\0") and gram in raw[: i + quality.GRAM - 1] else 0
+        assert got[i] == 256 + back.bit_length(), i
+    assert got.max() < quality.SYMBOLS
+
+
+def test_junk_of_repeated_words_is_rejected(spark):
+    words = [f"w{'abcdefghij'[i % 10] * (i % 7 + 1)}{i}" for i in range(400)]
+    clean = [(i, " ".join(words[(i * 37 + j * (i % 11 + 1)) % 400] for j in range(60))) for i in range(0, 300, 2)]
+    junk = [(i, " ".join(w for j in range(6) for w in [words[(i * 37 + j) % 400]] * 10)) for i in range(1, 300, 2)]
+    table = docs(spark, [(*row, "a") for row in clean + junk])
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(300)], "doc_id long, quality int")
+    got = quality.score_documents(table, quality.train(table, labels)).collect()
+    assert sum(r.predicted == 1 - r.doc_id % 2 for r in got if r.held_out) >= 0.95 * sum(r.held_out for r in got)
+
+
 def test_chunks_cover_the_whole_text():
     for n in (0, 1, 512, 513, 960, 961, 5000):
         text = "".join(chr(97 + i % 26) for i in range(n))
