@@ -44,6 +44,9 @@ _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}}
 _TEXTUAL = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "td", "b", "i", "em", "strong", "span", "a", "u", "small", "font", "code", "sub", "sup", "mark"))
 
+#: Parts of a text, which are no containers of their own.
+_PARTS = _TEXTUAL | {"ul", "ol", "dl", "dt", "table", "caption", "thead", "tbody", "tfoot", "tr", "th", "figure", "details", "summary", "address", "hgroup", "center"}
+
 
 def _value(m) -> str:
     return next((g for g in m.groups() if g), "") if m else ""
@@ -61,9 +64,9 @@ def step_of(tag: str, attrs: str) -> tuple[str, bool]:
 
 
 def blocks_of(html: str):
-    """The page's lines in order: (path of the nearest container, text, part of it inside links)."""
-    out: list[tuple[tuple, str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, step, furniture here or above
+    """The page's lines in order: (path of the nearest container, text, part of it inside links, the containers' places)."""
+    out: list[tuple[tuple, str, int, tuple]] = []
+    stack: list[tuple[str, str, bool, int]] = []  # tag, step, furniture here or above, place in the page
     pieces: list[str] = []
     linked = 0
 
@@ -72,7 +75,8 @@ def blocks_of(html: str):
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
-                out.append((tuple(s for t, s, _ in stack if t not in _TEXTUAL), text, linked))
+                held = [x for x in stack if x[0] not in _PARTS]
+                out.append((tuple(x[1] for x in held), text, linked, tuple(x[3] for x in held)))
             pieces.clear()
         linked = 0
 
@@ -82,7 +86,7 @@ def blocks_of(html: str):
         stop = m.start() if m else n
         if stop > at and not (stack and stack[-1][2]):
             pieces.append(html[at:stop])
-            if any(t == "a" for t, _, _ in stack):
+            if any(x[0] == "a" for x in stack):
                 linked += stop - at
         if not m:
             break
@@ -91,7 +95,7 @@ def blocks_of(html: str):
             continue
         tag = m[2].lower()
         if m[1]:
-            if not any(t == tag for t, _, _ in stack):
+            if not any(x[0] == tag for x in stack):
                 continue
             if tag in BLOCKS:
                 flush()
@@ -123,26 +127,32 @@ def blocks_of(html: str):
                         break
         step, apart = step_of(tag, m[3])
         if not (m[3].endswith("/") and tag not in BLOCKS):
-            stack.append((tag, step, apart or bool(stack and stack[-1][2])))
+            stack.append((tag, step, apart or bool(stack and stack[-1][2]), at))
     flush()
     return out
 
 
 def scored_paths(blocks) -> dict[tuple, float]:
-    """Each container's score: the characters of its own lines outside links, a part also for those above it."""
-    found: dict[tuple, float] = {}
-    for path, text, linked in blocks:
+    """The score of the best container of each path: the characters of its own lines outside links, a part also for those above it."""
+    found: dict[tuple, tuple[float, tuple]] = {}
+    for path, text, linked, at in blocks:
         worth = max(0, len(text) - 2 * linked) * (1.0 if len(text) >= 25 else 0.5)
         share = 1.0
         for depth in range(len(path), max(0, len(path) - 3), -1):
-            found[path[:depth]] = found.get(path[:depth], 0.0) + worth * share
+            found[at[:depth]] = (found.get(at[:depth], (0.0,))[0] + worth * share, path[:depth])
             share *= 0.5
-    return found
+    best: dict[tuple, float] = {}
+    for score, path in found.values():
+        best[path] = max(score, best.get(path, 0.0))
+    return best
 
 
 def best_path(blocks) -> tuple:
+    """The path of the best container, up to the article that it stands in."""
     found = scored_paths(blocks)
-    return max(found, key=lambda p: (found[p], len(p), p), default=())
+    path = max(found, key=lambda p: (found[p], len(p), p), default=())
+    inside = [i for i, step in enumerate(path) if step.split(".")[0] == "article"]
+    return path[: inside[0] + 1] if inside else path
 
 
 def main_text(blocks, path: tuple) -> str:
@@ -151,17 +161,17 @@ def main_text(blocks, path: tuple) -> str:
     if not inside:
         own = best_path(blocks)
         inside = [b for b in blocks if b[0][: len(own)] == own]
-    return "\n".join(text for _, text, _ in inside)
+    return "\n".join(b[1] for b in inside)
 
 
 def _voted(batches):
     for batch in batches:
         host, path, score = [], [], []
         for h, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = scored_paths(blocks_of(html.as_py() or ""))
-            if found:
-                best = max(found, key=lambda p: (found[p], len(p), p))
-                host.append(h), path.append(SEP.join(best)), score.append(found[best])
+            blocks = blocks_of(html.as_py() or "")
+            best = best_path(blocks)
+            if best:
+                host.append(h), path.append(SEP.join(best)), score.append(scored_paths(blocks).get(best, 0.0))
         yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(score, pa.float64())], names=["host", "path", "score"])
 
 

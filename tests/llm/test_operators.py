@@ -324,6 +324,19 @@ def test_any_markup_is_read(html):
     html_text.main_text(html_text.blocks_of(html), ())
 
 
+def test_parts_of_an_article_stay_together():
+    p = lambda i: f"<p>Paragraph {i} tells at some length what part {i} of it all is about.</p>"
+    side = '<div class="sidebar"><p>Sidebar.</p></div><section id="comments"><p>A reader says something at some length here, and more.</p></section>'
+    items = "".join(f"<li>An item of a long list, the number {i} of it.</li>" for i in range(40))
+    read = lambda inner: html_text.main_text(html_text.blocks_of(f"<body>{inner}{side}</body>"), html_text.best_path(html_text.blocks_of(f"<body>{inner}{side}</body>"))).split("\n")
+    sections = f"<h1>Title</h1><section>{p(1)}{p(2)}</section><section>{p(3)}{p(4)}</section><section>{p(5)}</section>"
+    for tag in ("article", 'div class="content"'):
+        got = read(f"<{tag}>{sections}</{tag.split()[0]}>")
+        assert got[0] == "Title" and len(got) == 6, tag
+        got = read(f"<{tag}><h1>Title</h1>{p(1)}<ul>{items}</ul><table><tr><td>one</td><td>two</td></tr></table></{tag.split()[0]}>")
+        assert got[0] == "Title" and len(got) == 44, tag
+
+
 def test_pages_against_a_plain_reading(duck):
     from html import unescape
 
