@@ -27,6 +27,8 @@ EPOCHS, BATCH, RATE, DECAY, SEED = 6, 32, 0.02, 1e-4, 5
 THRESHOLD = 0.3
 #: Bytes that are scored together.
 SCORE_BYTES = 1 << 20
+#: Rows of which the texts are held as Python strings together.
+SCORE_ROWS = 500
 
 
 def chunks_of(text: str | None) -> np.ndarray:
@@ -178,11 +180,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     return fit([np.frombuffer(bytes(r.chunks), np.uint8).reshape(-1, CHUNK) for r in got], y)
 
 
-def _scored(model: dict):
+def _scored(model: dict, text: str, keep: list[str], least: float = 0.0):
+    """The columns to keep and the score of the rows that reach the least score."""
+
     def run(batches):
-        for batch in batches:
-            got = scores(model, batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got)], names=[*batch.schema.names[:-1], "score"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SCORE_ROWS):
+                batch = whole.slice(lo, SCORE_ROWS)
+                got = scores(model, batch.column(batch.schema.get_field_index(text)).to_pylist())
+                out = pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], pa.array(got)], names=[*keep, "score"])
+                yield out.filter(pa.array(got >= least)) if least > 0 else out
 
     return run
 
@@ -196,7 +203,7 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     ship(docs.sparkSession)
     rows = pick(docs, "doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
-    got = rows.mapInArrow(_scored(model), f"doc_id {kind}, score double")
+    got = rows.mapInArrow(_scored(model, "text", ["doc_id"]), f"doc_id {kind}, score double")
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -205,10 +212,9 @@ def kept_documents(docs: DataFrame, model: dict) -> DataFrame:
     ship(docs.sparkSession)
     by_place, columns = plain(docs)
     text = place(columns, "text")
-    rows = by_place.select("*", F.col(text).alias("scored"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in by_place.schema.fields)
-    got = rows.mapInArrow(_scored(model), f"{fields}, score double")
-    return got.where(F.col("score") >= THRESHOLD).drop("score").toDF(*columns)
+    got = by_place.mapInArrow(_scored(model, text, by_place.columns, THRESHOLD), f"{fields}, score double")
+    return got.drop("score").toDF(*columns)
 
 
 def op8_quality(spark, sf_dir):
