@@ -22,7 +22,7 @@ from inkfall.llm.common import pick, ship, table
 #: Code points a rolling hash covers (a power of two), and the mean length of a chunk.
 WINDOW, MEAN = 16, 512
 #: Characters kept by a worker's memory of cores and of words; it starts anew beyond that.
-CORE_CHARS, WORD_CHARS = 8_000_000, 6_000_000
+CORE_CHARS, WORD_CHARS = 2_000_000, 2_000_000
 #: Characters of the documents that are encoded together.
 BATCH_CHARS = 1_000_000
 #: Unknown words that are encoded as one text, a special token between each two.
