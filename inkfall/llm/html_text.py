@@ -1,9 +1,9 @@
 """HTML extraction by consensus host paths.
 
-Every page's containers are scored by the text that stands directly in their paragraphs and headings. A
-page votes for its best container's path of generalised tag.class steps; the votes are counted per host in
-Spark; every page is then extracted again by its host's winning path, and by its own best container where
-it has no such path.
+A page votes for the least container that holds all its text outside furniture, by that container's path of
+generalised tag.class steps; the votes are counted per host in Spark; every page is then extracted again by
+its host's winning path, widened wherever the page has further text outside it. So nothing but furniture and
+lists of links outside the container is dropped.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}}
 _TEXTUAL = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "td", "b", "i", "em", "strong", "span", "a", "u", "small", "font", "code", "sub", "sup", "mark"))
 
+#: Text even where it is a link.
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Parts of a text, which are no containers of their own.
 _PARTS = _TEXTUAL | {"ul", "ol", "dl", "dt", "table", "caption", "thead", "tbody", "tfoot", "tr", "th", "figure", "details", "summary", "address", "hgroup", "center"}
 
@@ -86,7 +88,7 @@ def blocks_of(html: str):
         stop = m.start() if m else n
         if stop > at and not (stack and stack[-1][2]):
             pieces.append(html[at:stop])
-            if any(x[0] == "a" for x in stack):
+            if any(x[0] == "a" for x in stack) and not any(x[0] in _HEADINGS for x in stack):
                 linked += stop - at
         if not m:
             break
@@ -132,36 +134,34 @@ def blocks_of(html: str):
     return out
 
 
-def scored_paths(blocks) -> dict[tuple, float]:
-    """The score of the best container of each path: the characters of its own lines outside links, a part also for those above it."""
-    found: dict[tuple, tuple[float, tuple]] = {}
-    for path, text, linked, at in blocks:
-        worth = max(0, len(text) - 2 * linked) * (1.0 if len(text) >= 25 else 0.5)
-        share = 1.0
-        for depth in range(len(path), max(0, len(path) - 3), -1):
-            found[at[:depth]] = (found.get(at[:depth], (0.0,))[0] + worth * share, path[:depth])
-            share *= 0.5
-    best: dict[tuple, float] = {}
-    for score, path in found.values():
-        best[path] = max(score, best.get(path, 0.0))
-    return best
+def worth(text: str, linked: int) -> float:
+    """How much a line counts as text: its characters outside links, half of them where it is short."""
+    return max(0, len(text) - 2 * linked) * (1.0 if len(text) >= 25 else 0.5)
+
+
+def widened(blocks, path: tuple | None) -> tuple:
+    """A path cut to the container that also holds every line of text, at whatever depth; lines of links alone widen nothing."""
+    for other, text, linked, _ in blocks:
+        if path is None:
+            path = other if worth(text, linked) else None
+        elif path != other[: len(path)] and worth(text, linked):
+            same = 0
+            while same < min(len(path), len(other)) and path[same] == other[same]:
+                same += 1
+            path = path[:same]
+    return path or ()
 
 
 def best_path(blocks) -> tuple:
-    """The path of the best container, up to the article that it stands in."""
-    found = scored_paths(blocks)
-    path = max(found, key=lambda p: (found[p], len(p), p), default=())
-    inside = [i for i, step in enumerate(path) if step.split(".")[0] == "article"]
-    return path[: inside[0] + 1] if inside else path
+    """The path of the least container that holds all the page's text outside furniture."""
+    return widened(blocks, None)
 
 
 def main_text(blocks, path: tuple) -> str:
-    """The lines in the container of a path and below, joined; of the page's own best one if it has none."""
-    inside = [b for b in blocks if b[0][: len(path)] == path]
-    if not inside:
-        own = best_path(blocks)
-        inside = [b for b in blocks if b[0][: len(own)] == own]
-    return "\n".join(b[1] for b in inside)
+    """The lines in the container of a path, widened to all the page's text, and below, joined; of the page's own if it has none."""
+    own = widened(blocks, path if any(b[0][: len(path)] == path for b in blocks) else None)
+    inside = [b for b in blocks if b[0][: len(own)] == own]
+    return "\n".join(b[1] for b in inside or blocks)
 
 
 def _voted(batches):
@@ -171,7 +171,7 @@ def _voted(batches):
             blocks = blocks_of(html.as_py() or "")
             best = best_path(blocks)
             if best:
-                host.append(h), path.append(SEP.join(best)), score.append(scored_paths(blocks).get(best, 0.0))
+                host.append(h), path.append(SEP.join(best)), score.append(sum(worth(b[1], b[2]) for b in blocks))
         yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(score, pa.float64())], names=["host", "path", "score"])
 
 

@@ -337,6 +337,27 @@ def test_parts_of_an_article_stay_together():
         assert got[0] == "Title" and len(got) == 44, tag
 
 
+def test_unequal_blocks_without_an_article_stay_together(spark):
+    p = lambda n: "<p>" + "word " * (n // 5) + "</p>"
+    lead, text = f"<div class=lead>{p(300)}</div>", f"<div class=text>{p(900)}</div>"
+    menu = "<div class=list><a href=/a>One place to go</a> <a href=/b>Another place</a></div>"
+    inner = {
+        "lead": (f"<div class=content><h1>T</h1>{lead}{text}</div>", 3),
+        "title": (f"<div class=content><h1>T</h1>{text}</div>", 2),
+        "linked title": (f"<div class=content><h1><a href=/t>T</a></h1>{text}</div>", 2),
+        "deep": (f"<div class=content><h1>T</h1><div class=a><div class=b><div class=c><div class=d>{text}</div></div></div></div></div>", 2),
+        "beside an article": (f"<div class=content><h1>T</h1><article>{text}</article></div>", 2),
+    }
+    for name, (html, n) in inner.items():
+        blocks = html_text.blocks_of(f"<html><body>{menu}{html}</body></html>")
+        got = html_text.main_text(blocks, html_text.best_path(blocks)).split("\n")
+        assert len(got) == n and got[0] == "T", name
+    # a host's path does not cut what one of its pages has outside it
+    rows = [(i, "http://h.example/x", f"<html><body>{menu}{text}</body></html>") for i in range(3)] + [(3, "http://h.example/x", f"<html><body>{menu}{inner['lead'][0]}</body></html>"), (4, "http://h.example/x", f"<html><body><h1>T</h1>{text}</body></html>")]
+    got = {r.page_id: r.text.split("\n") for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [len(got[i]) for i in range(5)] == [1, 1, 1, 3, 2] and got[3][0] == got[4][0] == "T"
+
+
 def test_pages_against_a_plain_reading(duck):
     from html import unescape
 
