@@ -34,6 +34,18 @@ APART_WORDS = frozenset(
     ("ad", "ads", "advert", "adverts", "advertisement", "banner", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "footer", "sidebar", "aside", "widget",
      "related", "share", "social", "cookie", "cookies", "consent", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "signup", "login", "comment", "comments", "reply", "replies", "disqus", "respond", "pagination", "pager", "copyright", "legal")
 )
+#: What also names wrappers of whole pages; and what may stand beside a word of furniture in one name without changing it.
+WRAPPERS = frozenset(("header", "nav", "navbar", "navigation", "menu", "sidebar", "widget", "legal"))
+BESIDE = frozenset(
+    ("", "site", "top", "bottom", "left", "right", "inner", "outer", "wrap", "wrapper", "container", "box", "bar", "slot", "area", "list", "links", "link", "item", "items", "primary", "secondary", "global", "sticky", "fixed", "mobile", "desktop", "block", "unit", "buttons", "button",
+     "icon", "icons", "form", "panel", "row", "col", "column", "group", "toggle", "overlay", "message", "posts", "user", "js", "thread", "widgets", "media", "info", "trail", "logo", "lower", "upper", "mega", "sub", "side", "tabs", "this", "dropdown")
+)
+#: The same beside any word but header: a page's or post's header holds its title.
+BESIDE_OTHERS = frozenset(("page", "post", "main", "section", "content", "text", "body", "title"))
+_IN_NAMES = APART_WORDS | BESIDE
+_IN_OTHER_NAMES = _IN_NAMES | BESIDE_OTHERS
+#: How surely an element is furniture: by a name that a wrapper may have, by another name, by its tag.
+LOOSE, NAMED, SURE = 1, 2, 3
 #: Tags that end a line of text.
 BLOCKS = frozenset(
     ("html", "body", "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "li", "main", "menu", "nav",
@@ -54,21 +66,77 @@ def _value(m) -> str:
     return next((g for g in m.groups() if g), "") if m else ""
 
 
-def step_of(tag: str, attrs: str) -> tuple[str, bool]:
-    """A path's step, tag.class with digits generalised, and whether the element is furniture."""
+def named_apart(names: str) -> int:
+    """Whether one of the names, whole, means furniture: each part of it does, or may stand beside one that does."""
+    apart = 0
+    for name in names.split():
+        parts = set(re.split(r"[^a-z]+", name))
+        words = parts & APART_WORDS
+        if words and parts <= (_IN_NAMES if "header" in words else _IN_OTHER_NAMES):
+            apart = max(apart, LOOSE if words <= WRAPPERS else NAMED)
+    return apart
+
+
+def step_of(tag: str, attrs: str) -> tuple[str, int]:
+    """A path's step, tag.class with digits generalised, and how surely the element is furniture (0: it is not)."""
+    apart = (LOOSE if tag == "form" else SURE) if tag in APART else 0
     if not attrs or attrs.isspace():
-        return tag, tag in APART
-    named = _value(_CLASS.search(attrs))
-    words = set(re.split(r"[^a-z]+", f"{named} {_value(_ID.search(attrs))}".lower()))
-    apart = tag in APART or (tag not in ("html", "body", "article", "main") and bool(words & APART_WORDS)) or bool(_ROLE.search(attrs)) or (tag not in ("html", "body") and bool(_HIDDEN.search(attrs)))
-    classes = ".".join(sorted({re.sub(r"\d+", "#", c) for c in named.lower().split()}))
+        return tag, apart
+    named = _value(_CLASS.search(attrs)).lower()
+    if apart < SURE and tag not in ("html", "body", "article", "main"):
+        apart = max(apart, named_apart(f"{named} {_value(_ID.search(attrs)).lower()}"))
+    if apart < NAMED and (_ROLE.search(attrs) or (tag not in ("html", "body") and _HIDDEN.search(attrs))):
+        apart = NAMED
+    classes = ".".join(sorted({re.sub(r"\d+", "#", c) for c in named.split()}))
     return (f"{tag}.{classes}" if classes else tag), apart
 
 
+def worth(text: str, linked: int) -> float:
+    """How much a line counts as text: its characters outside links, half of them where it is short."""
+    return max(0, len(text) - 2 * linked) * (1.0 if len(text) >= 25 else 0.5)
+
+
+def released(lines, holds: dict[int, set]) -> set[int]:
+    """The places of elements that their names call furniture, but that hold the page itself.
+
+    They hold a main; or more of the page's text than stands outside them, furniture inside or outside not
+    counted, and either have a name that wrappers have or hold a first heading. Inner elements come first.
+    """
+    by: dict[tuple, float] = {}
+    most: dict[int, float] = {}
+    order: dict[int, tuple[int, int]] = {}
+    for _, text, linked, _, apart in lines:
+        by[apart] = by.get(apart, 0.0) + worth(text, linked)
+        for depth, (place, grade) in enumerate(apart):
+            most[place] = most.get(place, 0.0) + worth(text, linked)
+            order[place] = (depth, grade)
+    free: set[int] = set()
+    plain = by.get((), 0.0)
+    for place in sorted(order, key=lambda x: (-order[x][0], -most[x], x)):
+        if not ("main" in holds[place] or most[place] > plain and (order[place][1] == LOOSE or holds[place])):
+            continue
+        inside = outside = 0.0
+        above: set[int] = set()
+        for apart, much in by.items():
+            places = [x for x, _ in apart]
+            if place in places:
+                above.update(places[: order[place][0]])
+                if free.issuperset(places[order[place][0] + 1 :]):
+                    inside += much
+        for apart, much in by.items():
+            if all(x != place and (x in free or x in above) for x, _ in apart):
+                outside += much
+        if "main" in holds[place] or inside > outside:
+            free.add(place)
+            plain = sum(much for apart, much in by.items() if free.issuperset(x for x, _ in apart))
+    return free
+
+
 def blocks_of(html: str):
     """The page's lines in order: (path of the nearest container, text, part of it inside links, the containers' places)."""
-    out: list[tuple[tuple, str, int, tuple]] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, step, furniture here or above, place in the page
+    out: list[tuple[tuple, str, int, tuple, tuple]] = []
+    stack: list[tuple[str, str, tuple, int]] = []  # tag, step, (place, how surely) of furniture here and above, place in the page
+    holds: dict[int, set] = {}  # place of furniture: which of main and h1 stand in it
     pieces: list[str] = []
     linked = 0
 
@@ -78,7 +146,7 @@ def blocks_of(html: str):
             text = " ".join(unescape("".join(pieces)).split())
             if text:
                 held = [x for x in stack if x[0] not in _PARTS]
-                out.append((tuple(x[1] for x in held), text, linked, tuple(x[3] for x in held)))
+                out.append((tuple(x[1] for x in held), text, linked, tuple(x[3] for x in held), stack[-1][2] if stack else ()))
             pieces.clear()
         linked = 0
 
@@ -86,7 +154,7 @@ def blocks_of(html: str):
     while at < n:
         m = _TOKEN.search(html, at)
         stop = m.start() if m else n
-        if stop > at and not (stack and stack[-1][2]):
+        if stop > at and not (stack and stack[-1][2] and stack[-1][2][-1][1] == SURE):
             pieces.append(html[at:stop])
             if any(x[0] == "a" for x in stack) and not any(x[0] in _HEADINGS for x in stack):
                 linked += stop - at
@@ -97,9 +165,10 @@ def blocks_of(html: str):
             continue
         tag = m[2].lower()
         if m[1]:
-            if not any(x[0] == tag for x in stack):
+            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if i is None:
                 continue
-            if tag in BLOCKS:
+            if tag in BLOCKS or any(x[0] in BLOCKS and x[2] is not stack[i][2] for x in stack[i:]):
                 flush()
             while stack.pop()[0] != tag:
                 pass
@@ -129,14 +198,22 @@ def blocks_of(html: str):
                         break
         step, apart = step_of(tag, m[3])
         if not (m[3].endswith("/") and tag not in BLOCKS):
-            stack.append((tag, step, apart or bool(stack and stack[-1][2]), at))
+            above = stack[-1][2] if stack else ()
+            if above and above[-1][1] == SURE:
+                # a main stands in no furniture, but may follow some that was never closed
+                above = () if tag == "main" else above
+                apart = 0
+            elif tag in ("main", "h1"):
+                for place, _ in above:
+                    holds[place].add(tag)
+            if apart:
+                # a part of a line wraps no page
+                above += ((at, apart if tag in BLOCKS else SURE),)
+                holds[at] = set()
+            stack.append((tag, step, above, at))
     flush()
-    return out
-
-
-def worth(text: str, linked: int) -> float:
-    """How much a line counts as text: its characters outside links, half of them where it is short."""
-    return max(0, len(text) - 2 * linked) * (1.0 if len(text) >= 25 else 0.5)
+    free = released(out, holds)
+    return [line[:4] for line in out if free.issuperset(x for x, _ in line[4])]
 
 
 def widened(blocks, path: tuple | None) -> tuple:

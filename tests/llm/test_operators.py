@@ -358,6 +358,26 @@ def test_unequal_blocks_without_an_article_stay_together(spark):
     assert [len(got[i]) for i in range(5)] == [1, 1, 1, 3, 2] and got[3][0] == got[4][0] == "T"
 
 
+def test_wrappers_named_like_furniture_keep_the_page():
+    read = lambda inner: html_text.main_text(html_text.blocks_of(f"<body>{inner}</body>"), html_text.best_path(html_text.blocks_of(f"<body>{inner}</body>"))).split("\n")
+    text = "<h1>Title</h1><p>The first paragraph tells at some length what this is about.</p><p>Another one goes on about it for a while.</p>"
+    apart = '<div class="sidebar"><p>Sidebar.</p></div><div class="site-footer"><p>Footer.</p></div><div class="cookie-notice">We use</div><section id="comments"><article class="comment"><p>A reader says something at very great length here, and more, and then goes on until it is the longest of all the lines of the page.</p></article></section>'
+    want = read(f"<div>{text}</div>")
+    assert len(want) == 3
+    wrappers = ("div class='content has-sidebar'", "div id=page class='no-sidebar sticky-header'", "section class='legal-news'", "form action=/x id=aspnetForm", "div class=sticky-header", "div class='layout header'", "div class=legal-notice", "div style='display:none'")
+    for wrapper in wrappers:
+        tag = wrapper.split()[0]
+        for inner in (text, f"<article>{text}</article>", f"<main>{text}</main>", f"<div class='nav'><div class=menu>{text}</div></div>"):
+            assert read(f"<{wrapper}>{inner}{apart}</{tag}>") == want, (wrapper, inner)
+            assert read(f"<{wrapper}><nav>Menu</nav>{inner}</{tag}>{apart}") == want, (wrapper, inner)
+    assert read(f"<header>Site<main>{text}</main>") == want
+    assert read(f"{text}<section class='legal-news'><p>More.</p></section>") == [*want, "More."]
+    assert read(f"{text}<div class='page-header'><h2>Part</h2></div>") == [*want, "Part"]
+    for name in ("site-footer", "main-nav", "sidebar left", "cookie-consent", "related-posts", "ad", "comments-area", "widget-12"):
+        assert read(f"{text}<div class='{name}'><p>Apart.</p></div>") == want, name
+    assert read("<p>one <span class=ad>buy</span> two</p>") == ["one two"] and read("<div class=comments><p>Only what a reader says.</p></div>") == [""]
+
+
 def test_pages_against_a_plain_reading(duck):
     from html import unescape
 
