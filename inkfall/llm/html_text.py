@@ -26,10 +26,10 @@ _ID = re.compile(r"""\bid\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _ROLE = re.compile(r"""\brole\s*=\s*["']?(navigation|banner|contentinfo|complementary|search|form|dialog|alert)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
 #: Their content is text up to the closing tag, and never part of the page's.
-RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math"))
+RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 #: Furniture by its tag, and by words of its class or id.
-APART = frozenset(("nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "figcaption", "head"))
+APART = frozenset(("nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "head"))
 APART_WORDS = frozenset(
     ("ad", "ads", "advert", "adverts", "advertisement", "banner", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "footer", "sidebar", "aside", "widget",
      "related", "share", "social", "cookie", "cookies", "consent", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "signup", "login", "comment", "comments", "reply", "replies", "disqus", "respond", "pagination", "pager", "copyright", "legal")
@@ -184,6 +184,8 @@ def blocks_of(html: str):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = end.end() if end else n
             continue
+        if tag in ("text", "desc"):  # labels in an svg
+            pieces.append(" ")
         if tag in BLOCKS:
             flush()
             # a line's own tags end where another begins: paragraphs are closed by any block

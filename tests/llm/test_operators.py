@@ -378,6 +378,12 @@ def test_wrappers_named_like_furniture_keep_the_page():
     assert read("<p>one <span class=ad>buy</span> two</p>") == ["one two"] and read("<div class=comments><p>Only what a reader says.</p></div>") == [""]
 
 
+def test_captions_and_formulas_stay():
+    html = "<body><nav>Menu</nav><h1>Title</h1><figure><img src=x><figcaption>What the picture shows.</figcaption></figure><svg><title>icon</title><text x=1>Tea</text><text x=2>Coffee</text></svg><p>It is <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p><object data=x><param name=a><p>In place of the film.</p></object><p>End.</p></body>"
+    blocks = html_text.blocks_of(html)
+    assert html_text.main_text(blocks, html_text.best_path(blocks)).split("\n") == ["Title", "What the picture shows.", "Tea Coffee", "It is x=2 here.", "In place of the film.", "End."]
+
+
 def test_pages_against_a_plain_reading(duck):
     from html import unescape
 
