@@ -1,7 +1,8 @@
 """License scans by an exact set-similarity join [native].
 
 The tokens of the license templates are ordered by how many documents of the corpus hold them, rarest
-first. A text block (a line) that contains a share tau of a template's tokens must hold one of the first
+first. A text block (a line, or as many consecutive words across line breaks as the template has, so that a
+wrapped one stands whole in a block) that contains a share tau of a template's tokens must hold one of the first
 n - ceil(tau n) + 1 of them (prefix filter), must have ceil(tau n) tokens (length filter), and the tokens
 from the first common one on must still suffice on both sides (positional filter). What is left is
 verified. The templates are a bounded literal in the plan, so the join itself needs no shuffle; the one
@@ -36,8 +37,12 @@ TEMPLATES = {
 TAU = 0.8
 
 
+def _words(text: str) -> list[str]:
+    return re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
+
+
 def _tokens(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))))
+    return list(dict.fromkeys(_words(text)))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -48,6 +53,21 @@ def words_of(lowered: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
 
 
+def around_breaks(lowered: Column, span: int, rare: list[str]) -> Column:
+    """The words about each line break, at least span on each side, where one of the rare ones is among them."""
+
+    def windows(marks):
+        # between two words stands one mark at most, so that 2 span marks hold span words
+        breaks = F.filter(F.sequence(F.lit(1), F.size(marks)), lambda i: F.startswith(F.element_at(marks, i), F.lit("\n")))
+        first = lambda i: F.greatest(i - 2 * span, F.lit(1))
+        about = lambda i: F.slice(marks, first(i), i + 2 * span + 1 - first(i))
+        near = F.filter(breaks, lambda i: F.arrays_overlap(about(i), F.array(*map(F.lit, rare))))
+        return F.transform(near, lambda i: F.filter(about(i), lambda w: ~F.startswith(w, F.lit("\n"))))
+
+    marks = F.regexp_extract_all(lowered, F.lit(rf"{WORD}|\n{_GAP[:-1]}*"), F.lit(0))
+    return F.flatten(F.transform(F.array(marks), windows))
+
+
 def token_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """In how many documents each token of a bounded vocabulary occurs."""
     words = words_of(ascii_lower(F.col("text")))
@@ -73,8 +93,8 @@ def scan_licenses(docs: DataFrame, phrases: dict = PHRASES, templates: dict = TE
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every document.
 
     Null and empty texts have no words, places or labels and score 0. Repeated rows are scanned each. The
-    score is 1 where a base phrase stands, else the largest containment of a template in one line if that
-    reaches tau, else 0.
+    score is 1 where a base phrase stands, else the largest containment of a template in one line, or in as
+    many consecutive words as the template has, if that reaches tau, else 0.
     """
     docs = pick(docs, "doc_id", "text")
     listed = [(label, _tokens(t)) for label, texts in sorted(templates.items()) for t in texts]
@@ -84,6 +104,7 @@ def scan_licenses(docs: DataFrame, phrases: dict = PHRASES, templates: dict = TE
     ordered = [(label, sorted(t, key=rank.get)) for label, t in listed]
     rare = sorted({w for _, t in ordered for w in t[: len(t) - math.ceil(tau * len(t) - 1e-9) + 1]})
 
+    lengths = [len(_words(t)) for _, texts in sorted(templates.items()) for t in texts]
     low = F.col("low")
     df = docs.select("doc_id", ascii_lower(F.col("text")).alias("low"))
     has_any = low.rlike(_whole([_GAP.join(p.split()) for p in phrases]))
@@ -93,6 +114,7 @@ def scan_licenses(docs: DataFrame, phrases: dict = PHRASES, templates: dict = TE
         F.regexp_count(low, F.lit(WORD)).cast("long").alias("n_words"),
         F.when(has_any, words_of(low)).alias("words"),
         F.when(near, F.transform(F.split(low, "\n"), lambda line: F.array_distinct(words_of(line)))).alias("blocks"),
+        F.when(near, around_breaks(low, max(lengths, default=0), rare)).alias("around"),
     )
     words = F.col("words")
     starts = []
@@ -100,7 +122,7 @@ def scan_licenses(docs: DataFrame, phrases: dict = PHRASES, templates: dict = TE
         ws = p.split()
         spots = F.filter(F.sequence(F.lit(0), F.size(words) - 1), _stands(words, ws))
         starts.append(F.when(words.isNotNull(), spots).otherwise(F.array().cast("array<int>")))
-    best = [F.array_max(F.transform(F.col("blocks"), _contained(t, tau))) for _, t in ordered]
+    best = [F.greatest(F.array_max(F.transform(F.col("blocks"), _contained(t, tau))), F.array_max(F.transform(F.col("around"), _wrapped(t, n, tau)))) for (_, t), n in zip(ordered, lengths, strict=True)]
     df = df.select("doc_id", "n_words", F.array(*starts).alias("starts"), F.array(*[F.when(b >= tau - 1e-9, b) for b in best]).alias("best"))
     flat = F.flatten("starts")
     base = F.filter(F.array(*[F.when(F.size(F.get("starts", F.lit(i))) > 0, F.lit(label)) for i, label in enumerate(phrases.values())]), lambda x: x.isNotNull())
@@ -126,6 +148,18 @@ def _contained(ordered: list[str], tau: float):
     return lambda block: _containment(block, ordered, tau)
 
 
+def _wrapped(ordered: list[str], n_words: int, tau: float):
+    """The largest share of a template's tokens in as many consecutive words, of words that hold enough of them at all."""
+    tokens = F.array(*map(F.lit, ordered))
+
+    def best(words):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n_words + 1, F.lit(1)))
+        shares = F.transform(starts, lambda i: F.size(F.array_intersect(tokens, F.slice(words, i, F.lit(n_words)))) / F.lit(float(len(ordered))))
+        return F.when(_containment(words, ordered, tau) >= tau - 1e-9, F.array_max(shares))
+
+    return best
+
+
 def _stands(words: Column, phrase: list[str]):
     """Whether a phrase stands at a place of the words."""
     return lambda i: _all([F.get(words, i + j) == w for j, w in enumerate(phrase)])

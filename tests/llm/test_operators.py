@@ -202,6 +202,29 @@ def test_license_odd_rows(spark, odd, empty):
     assert (nothing.n_words, nothing.n_base, nothing.first_word, nothing.labels, nothing.score) == (0, 0, None, "", 0.0)
 
 
+def test_wrapped_templates_are_found(spark):
+    listed = [(label, t) for label, texts in license_scan.TEMPLATES.items() for t in texts]
+    other = "lorem ipsum dolor sit amet " * 12
+    rows, want = [], {}
+    for label, text in listed:
+        words = text.split()
+        for n in (2, 3, len(words)):
+            cuts = [len(words) * i // n for i in range(n + 1)]
+            lines = [" ".join(words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            for wrapped in ("\n".join(lines), f"{other}\r\n\r\n{other}" + "\r\n * ".join(lines) + f"{other}\n{other}"):
+                want[len(rows)] = label
+                rows.append((len(rows), wrapped, "s"))
+    apart = listed[2][1].split()
+    rows.append((len(rows), " ".join(apart[:10]) + f"\n{other}\n{other}\n" + " ".join(apart[10:]), "s"))
+    # the words of a short template apart, about a line break, are no notice
+    rows.append((len(rows), "ich bin mit ihr\nLicensed under the Apache License, Version 2.0", "s"))
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs(spark, rows)).collect()}
+    for i, label in want.items():
+        assert label in got[i].labels.split(",") and got[i].score >= license_scan.TAU, rows[i]
+    assert sum(got[i].score == 1 for i in want) >= len(want) // 2 and (got[len(want)].labels, got[len(want)].score) == ("", 0.0)
+    assert got[len(want) + 1].labels == "apache"
+
+
 # 4
 
 
