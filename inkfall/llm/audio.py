@@ -46,8 +46,11 @@ def samples_of(raw: bytes | None) -> tuple[np.ndarray, int]:
             data = w.readframes(w.getnframes())
     except (wave.Error, EOFError, struct.error):
         return np.zeros(0), 0
-    if width not in (1, 2, 4) or not rate or not channels:
+    if width not in (1, 2, 3, 4) or not rate or not channels:
         return np.zeros(0), 0
+    if width == 3:  # the upper three bytes of four
+        data = np.frombuffer(data[: len(data) // 3 * 3], dtype=np.uint8).reshape(-1, 3)
+        data, width = np.pad(data, ((0, 0), (1, 0))).tobytes(), 4
     x = np.frombuffer(data[: len(data) // (width * channels) * (width * channels)], dtype={1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
     x = (x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))
     return x.reshape(-1, channels).mean(axis=1), rate

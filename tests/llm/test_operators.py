@@ -542,6 +542,19 @@ def test_a_shifted_recording_aligns():
     assert (a[10:] == b[: len(a) - 10]).mean() > 0.95
 
 
+def test_recordings_of_24_bits():
+    import io
+    import wave
+
+    values = [[0, 1], [-(1 << 23), (1 << 23) - 1], [1 << 22, -1]]
+    raw = io.BytesIO()
+    with wave.open(raw, "wb") as w:
+        w.setnchannels(2), w.setsampwidth(3), w.setframerate(8000)
+        w.writeframes(b"".join(v.to_bytes(3, "little", signed=True) for pair in values for v in pair))
+    x, rate = audio.samples_of(raw.getvalue())
+    assert rate == 8000 and np.allclose(x, np.array(values).mean(axis=1) / (1 << 23), atol=0, rtol=1e-12)
+
+
 def test_unreadable_recordings(spark):
     rows = [(1, None), (2, b""), (3, b"RIFFbroken"), (4, audio.play(np.ones(64)))]
     got = {r.id: len(r.print) for r in audio.fingerprint_audio(spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in rows], "id long, audio binary")).collect()}
