@@ -225,6 +225,40 @@ def test_wrapped_templates_are_found(spark):
     assert got[len(want) + 1].labels == "apache"
 
 
+def test_blocks_equal_brute_force(spark):
+    """Texts of template words in all orders, with others among them, against every block of every text."""
+    rng = random.Random(8)
+    listed = [(label, license_scan._words(t)) for label, texts in license_scan.TEMPLATES.items() for t in texts]
+    pool = sorted({w for _, ws in listed for w in ws})
+    rows = []
+    for i in range(400):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            part = list(rng.choice(listed)[1])
+            for _ in range(rng.randrange(0, 6)):
+                part.insert(rng.randrange(len(part) + 1), rng.choice([*pool, "other", "words", "\u212aind"]))
+            for _ in range(rng.randrange(0, 5)):
+                part.pop(rng.randrange(len(part)))
+            if rng.random() < 0.3:
+                rng.shuffle(part)
+            words += part + ["filler"] * rng.choice([0, 0, 3, 40])
+        rows.append((i, rng.choice([" ", "\n", ", "]).join(rng.choice([w, w.upper()]) for w in words), "s"))
+    phrases = [(p.split(), label) for p, label in license_scan.PHRASES.items()]
+    for r in license_scan.scan_licenses(docs(spark, rows)).collect():
+        words = license_scan._words(rows[r.doc_id][1])
+        best = {}
+        for label, ws in listed:
+            n, width = len(set(ws)), len(ws)
+            share = max((len(set(ws) & set(words[i : i + width])) for i in range(len(words))), default=0) / n
+            if share >= license_scan.TAU - 1e-9:
+                best[label] = max(best.get(label, 0), share)
+        starts = [i for p, _ in phrases for i in range(len(words)) if words[i : i + len(p)] == p]
+        base = {label for p, label in phrases if any(words[i : i + len(p)] == p for i in range(len(words)))}
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(starts), min(starts, default=None), max(starts, default=None))
+        assert r.base_labels == ",".join(sorted(base)) and r.labels == ",".join(sorted(base | set(best))), rows[r.doc_id]
+        assert math.isclose(r.score, 1.0 if starts else max(best.values(), default=0.0))
+
+
 # 4
 
 
