@@ -21,7 +21,7 @@ BLOCK_ROWS = 4096
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
@@ -46,65 +46,72 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most
     return per.withColumn("first", level).select("source", "source_size", F.least(cap, F.col("first") * F.col("w")).alias("target"))
 
 
-def _place(by: Column) -> Column:
-    """A 32-bit mix of the id, which puts the documents of a size class in an arbitrary but fixed order."""
-    return F.conv(F.substring(F.md5(F.coalesce(by.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+def mark_of(key: Column, text: Column) -> Column:
+    """A hash of a document's id and text, by which those of a size class stand in an arbitrary but fixed order.
+
+    Rows of one mark are the same document, so it does not matter which of them stands first.
+    """
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
+
+
+def _first32(hex_digits: Column) -> Column:
+    return F.conv(F.substring(hex_digits, 1, 8), 16, 10).cast("long")
 
 
 def copies(rows: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """Adds source_size, target and copies to rows (id, source, size).
+    """Adds source_size, target and copies to rows (mark, source, size).
 
     Ranks come in two steps: counts per source, size class and block give the offsets, and rows are
     numbered within their block of about BLOCK_ROWS, so that a source with a third of all rows is no
-    single task's.
+    single task's, nor are rows that share an id. What is worked out per source is worked out in one task.
     """
-    rows = written(
-        rows.withColumn("class", F.floor(F.log2(F.col("size") + F.lit(1.0)) * 4).cast("int")).withColumn("spot", _place(F.col("id"))),
-        "sizes",
-    )
+    rows = written(rows.withColumn("class", F.floor(F.log2(F.col("size") + F.lit(1.0)) * 4).cast("int")), "sizes")
     blocks = rows.groupBy("source", "class").agg(F.ceil(F.count("*") / F.lit(float(BLOCK_ROWS))).cast("long").alias("blocks"))
     cut = blocks.select(F.col("source").alias("s"), F.col("class").alias("c"), "blocks")
     rows = rows.join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c"))).drop("s", "c")
-    rows = written(rows.withColumn("block", F.floor(F.col("spot") * F.col("blocks") / F.lit(4294967296.0)).cast("long")).drop("blocks"), "blocks")
+    rows = written(rows.withColumn("block", F.floor(_first32(F.col("mark")) * F.col("blocks") / F.lit(4294967296.0)).cast("long")).drop("blocks"), "blocks")
     counts = rows.groupBy("source", "class", "block").agg(F.count("*").alias("n"))
     up = Window.partitionBy("source").orderBy("class", "block")
     offsets = counts.select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("block").alias("b"), (F.sum("n").over(up) - F.col("n")).alias("before"))
     targets = source_targets(rows, weights, total, most).withColumnRenamed("source", "t")
     # a row per block, so that the targets and offsets meet before the documents come in
     plan = offsets.join(targets, F.col("s").eqNullSafe(F.col("t"))).drop("t")
-    rank = F.row_number().over(Window.partitionBy("source", "class", "block").orderBy("spot", "id", *[c for c in ("n",) if c in rows.columns])) - 1
+    rank = F.row_number().over(Window.partitionBy("source", "class", "block").orderBy("mark", *[c for c in ("n",) if c in rows.columns])) - 1
     rows = rows.withColumn("at", rank).join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")) & (F.col("block") == F.col("b"))).drop("s", "c", "b")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    start = _first32(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit(""))))).cast("double") / F.lit(4294967296.0)
     k = (F.col("at") + F.col("before")).cast("double")
     emitted = F.floor((k + 1) * F.col("rate") + F.col("start")) - F.floor(k * F.col("rate") + F.col("start"))
     rows = rows.withColumn("rate", rate).withColumn("start", start).withColumn("copies", F.least(emitted, F.lit(most)).cast("long"))
-    return rows.drop("class", "spot", "block", "at", "before", "rate", "start")
+    return rows.drop("class", "block", "at", "before", "rate", "start")
 
 
 def mix_sources(docs: DataFrame, **params) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies of every document.
 
     Null and empty texts have size 0 and add nothing; a source of such texts has target 0. The null source
-    is a source of its own. Repeated rows are documents of their own. An empty table gives an empty result.
+    is a source of its own. Rows that share an id are documents of their own; repeated rows too, and which of
+    them is taken more often is all one. The order in which rows come changes nothing. Columns with clashing names
+    are no matter; an empty table gives an empty result.
     """
-    rows = pick(docs, "doc_id", "source", "text").select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size"))
+    rows = pick(docs, "doc_id", "source", "text").select("doc_id", "source", mark_of(F.col("doc_id"), F.col("text")).alias("mark"), word_count(F.col("text")).alias("size"))
     out = copies(rows, **params)
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with all their columns.
 
-    A row finds its copies by its id, source and size; rows alike in all three are dealt out in any order,
-    by their number among those rows.
+    A row finds its copies by its mark and source; rows alike in both, which differ in other columns at most, are
+    told apart by a number in the order of a hash of all columns.
     """
     by_place, columns = plain(docs)
-    named = by_place.withColumns({"id": F.col(place(columns, "doc_id")), "source": F.col(place(columns, "source")), "size": word_count(F.col(place(columns, "text")))})
-    alike = Window.partitionBy("id", "source", "size").orderBy(F.xxhash64(*by_place.columns))
+    text = F.col(place(columns, "text"))
+    named = by_place.withColumns({"mark": mark_of(F.col(place(columns, "doc_id")), text), "source": F.col(place(columns, "source")), "size": word_count(text)})
+    alike = Window.partitionBy("mark", "source").orderBy(F.xxhash64(*by_place.columns))
     named = named.withColumn("n", F.row_number().over(alike))
-    got = copies(named.select("id", "source", "size", "n"), **params).where("copies > 0").select(F.col("id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), F.col("n").alias("m"), "copies")
-    out = named.join(got, F.col("id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("n") == F.col("m")))
+    got = copies(named.select("mark", "source", "size", "n"), **params).where("copies > 0").select(F.col("mark").alias("m"), F.col("source").alias("s"), F.col("n").alias("k"), "copies")
+    out = named.join(got, (F.col("mark") == F.col("m")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("n") == F.col("k")))
     out = out.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(*by_place.columns).toDF(*columns)
 
@@ -114,7 +121,7 @@ def op5_mixing(spark, sf_dir):
 
 
 _SQL = f"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS mark, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS w FROM d GROUP BY source),
 l AS (SELECT *, source_size::DOUBLE / w AS r, (sum(source_size) OVER () * 1.5::DOUBLE
         - coalesce(sum(source_size * 2.0::DOUBLE) OVER (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
@@ -122,7 +129,7 @@ l AS (SELECT *, source_size::DOUBLE / w AS r, (sum(source_size) OVER () * 1.5::D
 t AS (SELECT source, source_size, least(source_size * 2.0::DOUBLE, w * (SELECT level FROM l WHERE NOT level * w > source_size * 2.0::DOUBLE ORDER BY r, source NULLS LAST LIMIT 1)) AS target FROM l),
 k AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
         ('0x' || substr(md5('{SEED}:' || coalesce(d.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start,
-        (row_number() OVER (PARTITION BY d.source ORDER BY floor(log2(size + 1.0::DOUBLE) * 4), ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT, doc_id) - 1)::DOUBLE AS k
+        (row_number() OVER (PARTITION BY d.source ORDER BY floor(log2(size + 1.0::DOUBLE) * 4), mark) - 1)::DOUBLE AS k
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, least(floor((k + 1) * rate + start) - floor(k * rate + start), 2)::BIGINT AS copies FROM k)
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c"""
