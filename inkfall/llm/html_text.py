@@ -9,6 +9,7 @@ lists of links outside the container is dropped.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
 
 import pyarrow as pa
@@ -20,7 +21,8 @@ from inkfall.llm.url_filter import url_host
 
 #: Between the steps of a path; it stands in no class.
 SEP = "\x1f"
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_TAG = re.compile(_NAME.pattern + r"((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 _CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _ID = re.compile(r"""\bid\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _ROLE = re.compile(r"""\brole\s*=\s*["']?(navigation|banner|contentinfo|complementary|search|form|dialog|alert)""", re.I)
@@ -52,7 +54,7 @@ BLOCKS = frozenset(
      "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption")
 )
 #: A new one of these closes an open one of the same group that no container stands between.
-_CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}}
 _TEXTUAL = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "td", "b", "i", "em", "strong", "span", "a", "u", "small", "font", "code", "sub", "sup", "mark"))
 
@@ -77,9 +79,12 @@ def named_apart(names: str) -> int:
     return apart
 
 
-def step_of(tag: str, attrs: str) -> tuple[str, int]:
-    """A path's step, tag.class with digits generalised, and how surely the element is furniture (0: it is not)."""
-    apart = (LOOSE if tag == "form" else SURE) if tag in APART else 0
+def step_of(tag: str, attrs: str, inner: bool = False) -> tuple[str, int]:
+    """A path's step, tag.class with digits generalised, and how surely the element is furniture (0: it is not).
+
+    The header of an article or main holds its title, and is none.
+    """
+    apart = (LOOSE if tag == "form" else SURE) if tag in APART and not (inner and tag == "header") else 0
     if not attrs or attrs.isspace():
         return tag, apart
     named = _value(_CLASS.search(attrs)).lower()
@@ -96,91 +101,197 @@ def worth(text: str, linked: int) -> float:
     return max(0, len(text) - 2 * linked) * (1.0 if len(text) >= 25 else 0.5)
 
 
-def released(lines, holds: dict[int, set]) -> set[int]:
-    """The places of elements that their names call furniture, but that hold the page itself.
+class _Path:
+    """A container's path of steps. Equal paths of a page are one object; `jump` is some path above, for few hops to any depth."""
+
+    __slots__ = ("step", "up", "depth", "jump", "below")
+
+    def __init__(self, step: str = "", up: _Path | None = None):
+        self.step, self.up, self.below = step, up or self, {}
+        self.depth = up.depth + 1 if up else 0
+        if up is None:
+            self.jump = self
+        else:
+            self.jump = up.jump.jump if up.depth - up.jump.depth == up.jump.depth - up.jump.jump.depth else up
+
+    def child(self, step: str) -> _Path:
+        found = self.below.get(step)
+        if found is None:
+            found = self.below[step] = _Path(step, self)
+        return found
+
+    def cut(self, depth: int) -> _Path:
+        """The path above, or itself, of at most a depth."""
+        at = self
+        while at.depth > depth:
+            at = at.jump if at.jump.depth >= depth else at.up
+        return at
+
+    def within(self, other: _Path) -> bool:
+        return self.cut(other.depth) is other
+
+    def common(self, other: _Path) -> _Path:
+        a, b = self.cut(other.depth), other.cut(self.depth)
+        while a is not b:
+            a, b = (a.up, b.up) if a.jump is b.jump else (a.jump, b.jump)
+        return a
+
+    def steps(self) -> tuple:
+        out, at = [], self
+        while at.depth:
+            out.append(at.step)
+            at = at.up
+        return tuple(reversed(out))
+
+
+class _Apart:
+    """Furniture, nested in other furniture or none: how surely it is, what it holds, and the worth of its lines."""
+
+    __slots__ = ("up", "grade", "depth", "main", "first", "own", "most", "opened", "above", "free")
+
+    def __init__(self, up: _Apart | None = None, grade: int = 0):
+        self.up, self.grade, self.depth = up, grade, up.depth + 1 if up else 0
+        self.main = self.first = self.free = False
+        self.own = self.most = self.opened = self.above = 0.0
+
+
+def release(page: _Apart, furniture: list[_Apart]) -> None:
+    """Frees elements that their names call furniture, but that hold the page itself; furniture is in the order of the page.
 
     They hold a main; or more of the page's text than stands outside them, furniture inside or outside not
     counted, and either have a name that wrappers have or hold a first heading. Inner elements come first.
     """
-    by: dict[tuple, float] = {}
-    most: dict[int, float] = {}
-    order: dict[int, tuple[int, int]] = {}
-    for _, text, linked, _, apart in lines:
-        by[apart] = by.get(apart, 0.0) + worth(text, linked)
-        for depth, (place, grade) in enumerate(apart):
-            most[place] = most.get(place, 0.0) + worth(text, linked)
-            order[place] = (depth, grade)
-    free: set[int] = set()
-    plain = by.get((), 0.0)
-    for place in sorted(order, key=lambda x: (-order[x][0], -most[x], x)):
-        if not ("main" in holds[place] or most[place] > plain and (order[place][1] == LOOSE or holds[place])):
+    page.free, page.opened, page.above = True, page.own, page.own
+    for x in furniture:
+        x.opened, x.most, x.above = x.own, x.most + x.own, x.up.above + x.own
+    for x in reversed(furniture):
+        x.up.most += x.most
+        x.up.main, x.up.first = x.up.main or x.main, x.up.first or x.first
+    for _, x in sorted(enumerate(furniture), key=lambda e: (-e[1].depth, -e[1].most, e[0])):
+        if not (x.main or x.most > page.opened and (x.grade == LOOSE or x.first)):
             continue
-        inside = outside = 0.0
-        above: set[int] = set()
-        for apart, much in by.items():
-            places = [x for x, _ in apart]
-            if place in places:
-                above.update(places[: order[place][0]])
-                if free.issuperset(places[order[place][0] + 1 :]):
-                    inside += much
-        for apart, much in by.items():
-            if all(x != place and (x in free or x in above) for x, _ in apart):
-                outside += much
-        if "main" in holds[place] or inside > outside:
-            free.add(place)
-            plain = sum(much for apart, much in by.items() if free.issuperset(x for x, _ in apart))
-    return free
+        # what stands outside: the furniture that it stands in counts as open, further out as far as no furniture comes between
+        outside = x.up.opened + (x.up.up.above if x.up.up else 0.0)
+        if x.main or x.opened > outside:
+            x.free = True
+            x.up.opened += x.opened
+    for x in furniture:
+        x.free = x.free and x.up.free
+
+
+class _Tokens:
+    """The tags of a page in order; reading all of them takes time in proportion to its length, whatever it holds."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.last_data, self.ends = html, html.rfind(">"), html.rfind("]]>"), None
+
+    def after(self, at: int):
+        """(start, end, closing, name, attributes) of the next tag; its name is None in comments and the like. None at the end."""
+        html = self.html
+        while (at := html.find("<", at)) >= 0:
+            mark = html[at + 1 : at + 2]
+            if mark in ("!", "?"):
+                if html.startswith("<!--", at):
+                    end = html.find("-->", at + 4)
+                    return at, end + 3 if end >= 0 else len(html), "", None, ""
+                if html.startswith("<![CDATA[", at) and at < self.last_data:
+                    return at, html.find("]]>", at) + 3, "", None, ""
+                if at < self.last:
+                    return at, html.find(">", at) + 1, "", None, ""
+            elif mark == "/" or mark.isalpha():
+                if at > self.last:
+                    return None
+                m = _TAG.match(html, at) if self.ends is None else None
+                if m:
+                    return at, m.end(), m[1], m[2].lower(), m[3]
+                m = _NAME.match(html, at)
+                if m:
+                    end = self._end(m.end())
+                    return at, end + 1, m[1], m[2].lower(), html[m.end() : end]
+            at += 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """The > that ends a tag: one in no quotes, or where quotes stay open the next one of all.
+
+        From the first such tag on, all ends are looked up in a table that is made in one pass.
+        """
+        if self.ends is None:
+            self.places = [m.start() for m in re.finditer("[>\"']", self.html)]
+            self.ends, follows, bracket = [0] * len(self.places), {}, 0
+            for i in range(len(self.places) - 1, -1, -1):
+                mark = self.html[self.places[i]]
+                if mark == ">":
+                    bracket = self.ends[i] = self.places[i]
+                else:
+                    closing = follows.get(mark, -1)
+                    self.ends[i] = self.ends[closing + 1] if 0 <= closing < len(self.places) - 1 else 0
+                    self.ends[i] = self.ends[i] or bracket
+                    follows[mark] = i
+        return self.ends[bisect_left(self.places, at)]
 
 
 def blocks_of(html: str):
-    """The page's lines in order: (path of the nearest container, text, part of it inside links, the containers' places)."""
-    out: list[tuple[tuple, str, int, tuple, tuple]] = []
-    stack: list[tuple[str, str, tuple, int]] = []  # tag, step, (place, how surely) of furniture here and above, place in the page
-    holds: dict[int, set] = {}  # place of furniture: which of main and h1 stand in it
+    """The page's lines in order: (path of the nearest container, text, part of it inside links)."""
+    out: list[tuple[_Path, str, int, _Apart]] = []
+    top, page = _Path(), _Apart()
+    stack: list[tuple[str, _Path, _Apart]] = []
+    furniture: list[_Apart] = []
+    where: dict[str, list[int]] = {}  # the places of a tag in the stack
+    blocks: list[int] = []  # the places of blocks in the stack
     pieces: list[str] = []
-    linked = 0
+    linked = headings = 0
 
     def flush():
         nonlocal linked
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
-                held = [x for x in stack if x[0] not in _PARTS]
-                out.append((tuple(x[1] for x in held), text, linked, tuple(x[3] for x in held), stack[-1][2] if stack else ()))
+                _, path, apart = stack[-1] if stack else ("", top, page)
+                out.append((path, text, linked, apart))
+                apart.own += worth(text, linked)
             pieces.clear()
         linked = 0
 
-    at, n = 0, len(html)
+    def cut(to: int):
+        nonlocal headings
+        while len(stack) > to:
+            tag = stack.pop()[0]
+            where[tag].pop()
+            if tag in BLOCKS:
+                blocks.pop()
+            if tag in _HEADINGS:
+                headings -= 1
+
+    tokens, at, n = _Tokens(html), 0, len(html)
     while at < n:
-        m = _TOKEN.search(html, at)
-        stop = m.start() if m else n
-        if stop > at and not (stack and stack[-1][2] and stack[-1][2][-1][1] == SURE):
+        token = tokens.after(at)
+        stop = token[0] if token else n
+        if stop > at and not (stack and stack[-1][2].grade == SURE):
             pieces.append(html[at:stop])
-            if any(x[0] == "a" for x in stack) and not any(x[0] in _HEADINGS for x in stack):
+            if where.get("a") and not headings:
                 linked += stop - at
-        if not m:
+        if not token:
             break
-        at = m.end()
-        if not m[2]:
+        _, at, closing, tag, attrs = token
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if i is None:
+        if closing:
+            if not where.get(tag):
                 continue
+            i = where[tag][-1]
             if tag in BLOCKS or any(x[0] in BLOCKS and x[2] is not stack[i][2] for x in stack[i:]):
                 flush()
-            while stack.pop()[0] != tag:
-                pass
+            cut(i)
             continue
         if tag in VOID:
-            if tag in ("hr",):
+            if tag == "hr":
                 flush()
             elif tag == "br":
                 pieces.append(" ")
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
+            if not attrs.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = end.end() if end else n
             continue
@@ -190,56 +301,60 @@ def blocks_of(html: str):
             flush()
             # a line's own tags end where another begins: paragraphs are closed by any block
             while stack and stack[-1][0] in _TEXTUAL and stack[-1][0] not in ("li", "dd", "td", "blockquote"):
-                stack.pop()
-            if tag in _CLOSES:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in _HOLDS.get(tag, BLOCKS - _CLOSES[tag]):
-                        break
-                    if stack[i][0] in _CLOSES[tag]:
-                        del stack[i:]
-                        break
-        step, apart = step_of(tag, m[3])
-        if not (m[3].endswith("/") and tag not in BLOCKS):
-            above = stack[-1][2] if stack else ()
-            if above and above[-1][1] == SURE:
-                # a main stands in no furniture, but may follow some that was never closed
-                above = () if tag == "main" else above
-                apart = 0
-            elif tag in ("main", "h1"):
-                for place, _ in above:
-                    holds[place].add(tag)
-            if apart:
-                # a part of a line wraps no page
-                above += ((at, apart if tag in BLOCKS else SURE),)
-                holds[at] = set()
-            stack.append((tag, step, above, at))
+                cut(len(stack) - 1)
+            if tag == "p":
+                if blocks and stack[blocks[-1]][0] == "p":
+                    cut(blocks[-1])
+            elif tag in _CLOSES:
+                last = lambda tags: max((where[x][-1] for x in tags if where.get(x)), default=-1)
+                if last(_CLOSES[tag]) > last(_HOLDS[tag]):
+                    cut(last(_CLOSES[tag]))
+        if attrs.endswith("/") and tag not in BLOCKS:
+            continue
+        step, grade = step_of(tag, attrs, bool(where.get("article") or where.get("main")))
+        path, apart = stack[-1][1:] if stack else (top, page)
+        if apart.grade == SURE:
+            # a main stands in no furniture, but may follow some that was never closed
+            apart, grade = page if tag == "main" else apart, 0
+        elif tag == "main":
+            apart.main = True
+        elif tag == "h1":
+            apart.first = True
+        if grade:
+            # a part of a line wraps no page
+            apart = _Apart(apart, grade if tag in BLOCKS else SURE)
+            furniture.append(apart)
+        where.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            blocks.append(len(stack))
+        headings += tag in _HEADINGS
+        stack.append((tag, path if tag in _PARTS else path.child(step), apart))
     flush()
-    free = released(out, holds)
-    return [line[:4] for line in out if free.issuperset(x for x, _ in line[4])]
+    release(page, furniture)
+    return [line[:3] for line in out if line[3].free]
 
 
-def widened(blocks, path: tuple | None) -> tuple:
+def widened(blocks, path: _Path | None) -> _Path | None:
     """A path cut to the container that also holds every line of text, at whatever depth; lines of links alone widen nothing."""
-    for other, text, linked, _ in blocks:
-        if path is None:
-            path = other if worth(text, linked) else None
-        elif path != other[: len(path)] and worth(text, linked):
-            same = 0
-            while same < min(len(path), len(other)) and path[same] == other[same]:
-                same += 1
-            path = path[:same]
-    return path or ()
+    for other, text, linked in blocks:
+        if worth(text, linked):
+            path = other if path is None else path.common(other)
+    return path
 
 
 def best_path(blocks) -> tuple:
     """The path of the least container that holds all the page's text outside furniture."""
-    return widened(blocks, None)
+    found = widened(blocks, None)
+    return found.steps() if found else ()
 
 
 def main_text(blocks, path: tuple) -> str:
     """The lines in the container of a path, widened to all the page's text, and below, joined; of the page's own if it has none."""
-    own = widened(blocks, path if any(b[0][: len(path)] == path for b in blocks) else None)
-    inside = [b for b in blocks if b[0][: len(own)] == own]
+    own = blocks[0][0].cut(0) if blocks else None
+    for step in path:
+        own = own and own.below.get(step)
+    own = widened(blocks, own if own and any(b[0].within(own) for b in blocks) else None)
+    inside = [b for b in blocks if own is None or b[0].within(own)]
     return "\n".join(b[1] for b in inside or blocks)
 
 
