@@ -1,8 +1,8 @@
 """License scans by an exact set-similarity join [native].
 
 The text is read once: of every word that a template or phrase holds, its place and token number are kept.
-A text block is a run of as many consecutive words as the template has, wherever lines end. The templates' tokens are ordered by how many documents of the corpus hold
-them, rarest first. A block that contains a share tau of a template's n tokens must hold one of the first
+A text block is a run of as many consecutive words as the template has, wherever lines end. The templates'
+tokens are ordered by how many documents of the corpus hold them, rarest first. A block that contains a share tau of a template's n tokens must hold one of the first
 n - ceil(tau n) + 1 of them: an index from these tokens to the templates finds the candidates (prefix
 filter). The document must have ceil(tau n) words (length filter), and of the tokens from the common one on in
 the order enough must stand within a block's reach (positional filter). Only then are the blocks about that

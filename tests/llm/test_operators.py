@@ -309,9 +309,57 @@ def test_shards_are_even(spark):
     assert len(sizes) == 40 and max(sizes.values()) < 1.03 * min(sizes.values())
 
 
+@pytest.mark.parametrize("n", [300, 3000])
+def test_every_group_is_packed(spark, n):
+    """The bins of the plain rule over all groups, one by one, at two sizes of the corpus."""
+    rng = random.Random(n)
+    texts = ["y" * rng.randrange(1, 90) + str(rng.randrange(n // 3)) for _ in range(n)] + ["z" * 300] * (n // 3) + ["w" * n * 20]
+    got = sharding.assign_shards(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    size = lambda t: len(t) + 16
+    groups = sorted((size(t) * k for t, k in collections.Counter(texts).items()), reverse=True)
+    room = [math.ceil(sum(groups) / 40)] * 40
+    held = [[] for _ in room]
+    for g in groups:
+        fits = [(r, b) for b, r in enumerate(room) if r >= g]
+        b = min(fits)[1] if fits else max((r, b) for b, r in enumerate(room))[1]
+        room[b] -= g
+        held[b].append(g)
+    bins = {}
+    for r in got:
+        bins.setdefault(r.shard, collections.Counter())[texts[r.doc_id]] += r.size
+    assert all(sorted(bins.get(b, {}).values()) == sorted(held[b]) for b in range(40))
+
+
+def test_slots_of_rows_that_share_an_id(spark):
+    rows = [(None, "same", "s")] * 300 + [(7, f"text {i}", "s") for i in range(300)] + [(8, None, "s")] * 2
+    old = sharding.TOGETHER, sharding.COPIES
+    sharding.TOGETHER, sharding.COPIES = 50, 64
+    try:
+        got = sharding.assign_shards(docs(spark, rows)).collect()
+    finally:
+        sharding.TOGETHER, sharding.COPIES = old
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 602 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert len({r.shard for r in got if r.doc_id is None}) == 1
+
+
 # 5
 
 
+def test_mix_agrees_whatever_the_order(spark):
+    """Rows that share an id, some with the same number of words, in several orders and partitions."""
+    rng = random.Random(3)
+    rows = [(i % 40, " ".join(["w"] * rng.randrange(1, 9)) + f" {i % 160}", rng.choice(["a", "b", None])) for i in range(900)]
+    seen = []
+    for k in range(4):
+        rng.shuffle(rows)
+        table = docs(spark, rows).repartition(1 + 2 * k)
+        seen.append((sorted(map(repr, mixing.mix_sources(table).collect())), sorted(map(repr, mixing.mixed_documents(table).collect()))))
+    assert all(x == seen[0] for x in seen)
+
+
 def test_mix_reaches_its_targets(spark):
     rng = random.Random(0)
     rows = [(i, " ".join(["w"] * min(400, int(rng.lognormvariate(3, 1)))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(4000)]
@@ -361,9 +409,102 @@ def test_links_equal_brute_force(spark):
     assert embed_dup.link_vectors(table.where("false")).count() == 0
 
 
+def test_links_of_real_vectors_equal_brute_force(spark, duck):
+    rows = duck.sql("SELECT vec_id, embedding FROM embeddings").fetchall()
+    unit = np.array([r[1] for r in rows], dtype=np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    close = unit @ unit.T >= 0.9
+    np.fill_diagonal(close, False)
+    got = {r.vec_id: r.n_links for r in embed_dup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    found = np.array([got[r[0]] for r in rows])
+    assert (found <= close.sum(axis=1)).all() and found.sum() >= 0.99 * close.sum()
+
+
+def test_doubles_stay_doubles(spark):
+    """A pair that lies below the threshold by less than four bytes can tell, and one above it."""
+    dim, rng = 16, np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        a, b = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+        c = 0.9 + (1e-9 if i % 2 else -1e-9)
+        rows += [(2 * i, (1e200 * a).tolist()), (2 * i + 1, (c * a + math.sqrt(1 - c * c) * b).tolist())]
+    got = {r.vec_id: r for r in embed_dup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    unit = np.array([r[1] for r in rows])
+    unit /= np.abs(unit).max(axis=1)[:, None]
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    close = unit @ unit.T >= 0.9
+    np.fill_diagonal(close, False)
+    assert all(got[4 * i].n_links == close[4 * i].sum() for i in range(30)) and sum(got[4 * i + 2].n_links for i in range(30)) >= 29
+
+
+def test_a_dense_cluster_is_counted_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=24)
+    near = base + rng.normal(size=(400, 24)) * 0.3
+    old = embed_dup.BLOCK
+    embed_dup.BLOCK = 64
+    try:
+        got = {r.vec_id: r for r in embed_dup.link_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)], "vec_id long, embedding array<double>")).collect()}
+    finally:
+        embed_dup.BLOCK = old
+    unit = near / np.linalg.norm(near, axis=1)[:, None]
+    close = unit @ unit.T >= 0.9
+    np.fill_diagonal(close, False)
+    assert all(got[i].n_links <= close[i].sum() for i in got) and sum(r.n_links for r in got.values()) >= 0.99 * close.sum()
+
+
+def test_groups_grow_slowly_with_the_vectors():
+    groups = [embed_dup.plan_for(n)["groups"] for n in (100, 50_000, 10**6, 10**8, 10**9)]
+    assert groups == sorted(groups) and groups[1] <= 6 and groups[-1] <= 30
+
+
 # 7
 
 
+def test_odd_markup_takes_time_in_proportion():
+    import time
+
+    n = 60_000
+    for unit, end in (('<a href="x ', ""), ("<div><p>t</p>", ""), ('<a ">"<a ', ""), ("<![CDATA[", ""), ("<!", ""), ("<div class=menu>t", ""), ("<div class=menu><h1>x", ""), ("<label>", "<p>x" * n), ("<li>", "<div>" * n), ("<a<a", "'>"), ("<!--", ""), ("</p>", "")):
+        html = unit * n + end
+        began = time.perf_counter()
+        blocks = html_text.blocks_of(html)
+        html_text.main_text(blocks, html_text.best_path(blocks))
+        assert time.perf_counter() - began < 5 * len(html) / 1e6 + 1, unit
+
+
+def test_tags_whose_quotes_stay_open_end_at_the_next_bracket():
+    read = lambda html: html_text.main_text(html_text.blocks_of(html), ())
+    assert read('<p title="a>b</p><p>c') == "b\nc" and read("<p title='a>b\">c</p><p>d") == 'b">c\nd'
+    assert read('<p title="x>y">one</p><a href="open>two') == "one\ntwo" and read("1 < 2 <b>and") == "1 < 2 and"
+
+
+def test_host_votes_on_whole_tables(spark, duck):
+    """Votes and texts of all pages against counting them by hand."""
+    rows = duck.sql("SELECT page_id, url, html FROM pages").fetchall()
+    host = lambda u: re.match(r"(?s)^.*?://([^/?#]*)", u)[1].lower() if u and "://" in u else ""
+    votes, worths, read = collections.Counter(), collections.Counter(), {}
+    for i, url, html in rows:
+        read[i] = html_text.blocks_of(html or "")
+        best = html_text.best_path(read[i])
+        if best:
+            votes[host(url), best] += 1
+            worths[host(url), best] += round(sum(html_text.worth(b[1], b[2]) for b in read[i]))
+    winner = {}
+    for (h, path), n in votes.items():
+        winner[h] = max(winner.get(h, (0, 0, "")), (n, worths[h, path], html_text.SEP.join(path)))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.host: r.path for r in html_text.host_paths(table).collect()} == {h: p for h, (_, _, p) in winner.items()}
+    got = {r.page_id: r.text for r in html_text.extract_text(table).collect()}
+    assert got == {i: html_text.main_text(read[i], tuple(winner[host(u)][2].split(html_text.SEP)) if host(u) in winner else html_text.best_path(read[i])) for i, u, _ in rows}
+
+
+def test_an_article_keeps_its_own_header():
+    html = "<body><header><p>The site's header</p></header><article><header><h1>Title</h1><p>By someone</p></header><p>The text of it all.</p><footer>Filed under</footer></article></body>"
+    blocks = html_text.blocks_of(html)
+    assert html_text.main_text(blocks, html_text.best_path(blocks)).split("\n") == ["Title", "By someone", "The text of it all."]
+
+
 def test_main_text(spark):
     page = "<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><a href=/>n</a></nav><div class='cookie-notice'>We use</div><main><div class='post post-{n}'><h1>A &lt;b&gt; B</h1><p>One  long paragraph of the article\n here<p>Two &amp;amp; <b>x</b> &eacute; of the article<ul><li>i1<li>i2</ul><script>var a='</p>';</script><form><p>mail</p></form><div id=comments><p>a reader says very much at length here to be the longest of all lines</p></div></div></main><aside>side</aside><footer>&copy;</footer></body></html>"
     rows = [(i, "http://h.example/x", page.replace("{n}", str(i)), "p") for i in range(3)] + [(7, None, None, "p"), (8, "u", "", "p"), (9, "http://h.example/y", "<body><p>other page of this host</body>", "p"), (9, "http://h.example/y", "<body><p>other page of this host</body>", "p"), (10, "z", "<nav>only</nav>", "p")]
