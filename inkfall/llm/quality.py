@@ -21,8 +21,8 @@ CHUNK, STRIDE = 512, 448
 FILTERS, WIDTH, STEP = 16, 8, 4
 #: Bytes that count as a repetition, and symbols: 256 bytes, no repetition, and a power of two of its distance each.
 GRAM, SYMBOLS = 4, 256 + 1 + CHUNK.bit_length()
-#: The classifier learns from so many labelled documents at most, and so many chunks of each.
-SAMPLE_DOCS, SAMPLE_CHUNKS = 3000, 8
+#: The classifier learns from so many labelled documents at most, and so many bytes of whole texts together.
+SAMPLE_DOCS, SAMPLE_BYTES = 3000, 16 << 20
 EPOCHS, BATCH, RATE, DECAY, SEED = 6, 32, 0.02, 1e-4, 5
 THRESHOLD = 0.3
 #: Bytes that are scored together.
@@ -31,9 +31,9 @@ SCORE_BYTES = 1 << 20
 SCORE_ROWS = 500
 
 
-def chunks_of(text: str | None) -> np.ndarray:
+def chunks_of(text: str | bytes | None) -> np.ndarray:
     """All chunks of a text as rows of bytes; the last one is filled up with zeros, an empty text is one such chunk."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    raw = np.frombuffer(text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
     n = 1 if len(raw) <= CHUNK else 1 + -(-(len(raw) - CHUNK) // STRIDE)
     full = np.zeros((n - 1) * STRIDE + CHUNK, dtype=np.uint8)
     full[: len(raw)] = raw
@@ -79,14 +79,17 @@ def pooled(best: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> dict:
-    """Filters, weights and bias by Adam on the cross-entropy; each document is given by some of its chunks."""
+    """Filters, weights and bias by Adam on the cross-entropy; each document is given by all its chunks.
+
+    Without documents the weights are zero, so that every score is a half and nothing is rejected.
+    """
     rng = np.random.default_rng(seed)
     model = {"filters": rng.normal(0, 0.3, (WIDTH, SYMBOLS, FILTERS)).astype(np.float32), "weights": np.zeros(2 * FILTERS, np.float32), "bias": np.zeros(1, np.float32)}
     first = {k: np.zeros_like(v) for k, v in model.items()}
     second = {k: np.zeros_like(v) for k, v in model.items()}
-    model["weights"] += rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32)
     if not len(docs):
         return model
+    model["weights"] += rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32)
     told = [repeats(d) for d in docs]
     t = 0
     for _ in range(EPOCHS):
@@ -97,9 +100,8 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> dict:
             sizes = np.array([len(docs[i]) for i in some])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             owner = np.repeat(np.arange(len(some)), sizes)
-            all_out = responses(chunks, again, model["filters"])
-            at = all_out.argmax(axis=1)
-            raw = np.take_along_axis(all_out, at[:, None, :], axis=1)[:, 0]
+            largest = [_largest(c, r, model["filters"]) for c, r in zip(_split(chunks), _split(again), strict=True)]
+            at, raw = (np.concatenate([x[i] for x in largest]) for i in (0, 1))
             best = np.maximum(raw, 0)
             x = pooled(best, starts)
             p = _sigmoid(x @ model["weights"] + model["bias"][0])
@@ -123,6 +125,13 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> dict:
     return model
 
 
+def _largest(chunks: np.ndarray, again: np.ndarray, filters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each chunk and filter the place of the largest response, and that response."""
+    out = responses(chunks, again, filters)
+    at = out.argmax(axis=1)
+    return at, np.take_along_axis(out, at[:, None, :], axis=1)[:, 0]
+
+
 def scores(model: dict, texts: list) -> np.ndarray:
     """Probability of label 1 of each whole text."""
     out = []
@@ -148,36 +157,39 @@ def _best(chunks: np.ndarray, filters: np.ndarray) -> np.ndarray:
     return np.maximum(responses(chunks, repeats(chunks), filters).max(axis=1), 0)
 
 
-def _sampled(batches):
-    for batch in batches:
-        texts, labels = batch.column(0), batch.column(1)
-        rows = []
-        for t in texts:
-            c = chunks_of(t.as_py())
-            some = np.unique(np.linspace(0, len(c) - 1, min(len(c), SAMPLE_CHUNKS)).round().astype(int))
-            rows.append(np.ascontiguousarray(c[some]).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(rows, pa.binary()), labels.cast(pa.int64())], names=["doc_id", "chunks", "label"])
-
-
 def held_out(doc_id):
     """The documents that are never learnt from: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
-    """Fits the network on at most sample_docs labelled documents, taken by a hash of their id.
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict:
+    """Fits the network on the whole texts of labelled documents.
 
-    The sample is at most sample_docs * SAMPLE_CHUNKS * CHUNK bytes. Labels that are null are left out; an
-    id with several labels counts as 1 if any is.
+    They are taken in the order of a hash of their id, sample_docs at most, a text that would exceed sample_bytes of
+    all together being passed over; so much reaches the driver. Labels and ids that are null are left out; an id
+    with several labels counts as 1 if any is, and of rows that share an id one is taken by a hash of its text.
+    Without any such row, empty tables among them, the model gives every text the score 0.5.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     told = pick(labels, "doc_id", "quality").where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     told = told.groupBy("doc_id").agg(F.max("quality").alias("label")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample_docs)
-    rows = pick(docs, "doc_id", "text").join(F.broadcast(told), "doc_id").select("text", F.col("label").cast("long"), F.col("doc_id").cast("string").alias("doc_id"))
-    got = rows.mapInArrow(_sampled, "doc_id string, chunks binary, label long").groupBy("doc_id").agg(F.min(F.struct("chunks", "label")).alias("x"))
-    got = sorted(got.select("doc_id", "x.*").collect())  # at most sample_docs rows of at most SAMPLE_CHUNKS * CHUNK bytes
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = pick(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
+    sizes = rows.join(F.broadcast(told), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("h", F.octet_length("text").alias("size"))).alias("x"))
+    taken, left = [], sample_bytes
+    for r in sizes.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").select("doc_id", F.col("label").cast("double"), "x.*").collect():
+        if r.size <= left:
+            taken.append((r.doc_id, r.h, r.label))
+            left -= r.size
+    if not taken:
+        return fit([], np.zeros(0, dtype=np.float32))
+    chosen = spark.createDataFrame(taken, f"id {dict(rows.dtypes)['doc_id']}, k long, label double")
+    got = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("k")))
+    got = got.groupBy("doc_id").agg(F.min(F.struct(F.col("text").cast("binary").alias("text"), "label")).alias("x")).select("doc_id", "x.*")
+    got = sorted(got.collect())  # at most sample_docs rows of at most sample_bytes
     y = np.array([1.0 if r.label else 0.0 for r in got], dtype=np.float32)
-    return fit([np.frombuffer(bytes(r.chunks), np.uint8).reshape(-1, CHUNK) for r in got], y)
+    return fit([chunks_of(bytes(r.text)) for r in got], y)
 
 
 def _scored(model: dict, text: str, keep: list[str], least: float = 0.0):
@@ -208,7 +220,11 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, model: dict) -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
+    """The documents that are not rejected, with all their columns, whatever their names.
+
+    Null and empty texts are scored as one chunk of zeros; repeated rows are judged alike. A model of no rows rejects
+    nothing, and an empty table gives an empty result.
+    """
     ship(docs.sparkSession)
     by_place, columns = plain(docs)
     text = place(columns, "text")
