@@ -25,8 +25,8 @@ LOWEST_HZ, HIGHEST_HZ = 200.0, 1900.0
 STEP, FLOOR = 0.35, 1e-3
 #: Share of differing bits that a match may have, and the queries.
 MAX_ERRORS, QUERY_EVERY = 0.15, 50
-#: The 24 bits that differed least between 300 pairs of like clips; the index looks for integers that agree in them.
-STEADY = -12787794
+#: Runs of a key that are joined together in one task, on either side.
+TOGETHER = 2048
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -38,8 +38,16 @@ def filters() -> list[tuple[int, int, int, int]]:
     return out
 
 
+def steady_bits() -> int:
+    """The bits by which the index looks: of each filter whether its first region outweighs the second, and of those over most of the picture also whether by much."""
+    bank = filters()
+    widest = sorted(range(len(bank)), key=lambda i: (-bank[i][2] * bank[i][3], i))[: len(bank) // 2]
+    mask = sum(2 << 2 * i for i in range(len(bank))) + sum(1 << 2 * i for i in widest)
+    return mask - (1 << 32) if mask >> 31 else mask
+
+
 def samples_of(raw: bytes | None) -> tuple[np.ndarray, int]:
-    """Mono samples in [-1, 1] and the rate of a PCM WAV file; none of one that cannot be read."""
+    """Mono samples in [-1, 1] and the rate of a PCM WAV file of 8, 16, 24 or 32 bits a sample; none of one that cannot be read."""
     try:
         with wave.open(io.BytesIO(raw or b"")) as w:
             rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
@@ -148,9 +156,41 @@ def fingerprint_audio(recordings: DataFrame) -> DataFrame:
     return pick(recordings, "id", "audio").withColumn("id", F.col("id").cast("long")).mapInArrow(_fingerprinted, "id long, print array<int>")
 
 
-def _spots(prints: DataFrame) -> DataFrame:
-    """node, pos, key of every value of a fingerprint; a key is the value's steadiest bits."""
-    return prints.select("node", F.posexplode("print").alias("pos", "v")).select("node", "pos", F.col("v").bitwiseAND(F.lit(STEADY)).alias("key"))
+def _runs(prints: DataFrame) -> DataFrame:
+    """node, pos, len, key of the runs of equal keys in a fingerprint; a key is the steady bits of a value.
+
+    A held tone or silence is one run, however long.
+    """
+    mask = steady_bits()
+    keys = F.transform("print", lambda v: v.bitwiseAND(F.lit(mask)))
+    by_key = prints.select("node", keys.alias("keys"))
+    starts = F.filter(F.transform("keys", lambda k, i: F.when((i == 0) | (k != F.get("keys", i - 1)), i)), lambda i: i.isNotNull())
+    by_key = by_key.select("node", "keys", starts.alias("starts"))
+    run = lambda s, j: F.struct(s.alias("pos"), (F.coalesce(F.get("starts", j + 1), F.size("keys")) - s).alias("len"), F.get("keys", s).alias("key"))
+    return by_key.select("node", F.explode(F.transform("starts", run)).alias("r")).select("node", "r.*")
+
+
+def _hits(runs: DataFrame, asked: DataFrame) -> DataFrame:
+    """q, node, shift, n: how many frames of a recording and a query have one key at each shift.
+
+    Both sides of a frequent key are cut into blocks, and each pair of blocks is joined on its own.
+    """
+    blocks = lambda side, name: side.groupBy("key").agg(F.ceil(F.count("*") / F.lit(float(TOGETHER))).cast("int").alias(name))
+    many = blocks(runs, "all").join(blocks(asked, "ask"), "key").where("all > 1 OR ask > 1")
+    many = written(many.withColumnRenamed("key", "often"), "often")
+    one = F.lit(1)
+
+    def dealt(side, own, other):
+        side = side.join(many, F.col("key") == F.col("often"), "left").withColumns({"all": F.coalesce("all", one), "ask": F.coalesce("ask", one)})
+        side = side.withColumn(f"{own}_block", F.pmod(F.xxhash64(F.lit(3), "node", "pos"), F.col(own)).cast("int"))
+        return side.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("all", "ask", "often")
+
+    mine = dealt(asked, "ask", "all").select(F.col("node").alias("q"), F.col("pos").alias("at"), F.col("len").alias("held"), F.col("key").alias("k"), F.col("all_block").alias("ab"), F.col("ask_block").alias("qb"))
+    met = dealt(runs, "all", "ask").join(mine, (F.col("key") == F.col("k")) & (F.col("all_block") == F.col("ab")) & (F.col("ask_block") == F.col("qb")) & (F.col("node") != F.col("q")))
+    # two runs share a key at all shifts at which they overlap
+    met = met.withColumn("d", F.explode(F.sequence(1 - F.col("held"), F.col("len") - 1)))
+    n = F.least("len", "held", F.col("len") - F.col("d"), F.col("held") + F.col("d"))
+    return met.select("q", "node", (F.col("pos") - F.col("at") + F.col("d")).alias("shift"), n.cast("long").alias("n"))
 
 
 def search_audio(prints: DataFrame, query_every: int = QUERY_EVERY, max_errors: float = MAX_ERRORS) -> DataFrame:
@@ -160,17 +200,18 @@ def search_audio(prints: DataFrame, query_every: int = QUERY_EVERY, max_errors:
     counts the other recordings that align, over half of the shorter one at least, with at most max_errors
     of the bits differing; the best has the fewest, then the least id. Equal fingerprints are searched once and all count as matches. Recordings
     with an empty fingerprint match nothing; neither does a null id. Of rows that share an id each has a
-    row, and they count as one recording.
+    row, and they count as one recording. A pair is compared at the shift at which most keys agree. Columns with
+    clashing names are no matter; an empty table gives an empty result.
     """
+    prints = pick(prints, "id", "print")
     prints = written(prints.withColumn("hash", F.when((F.size("print") > 0) & F.col("id").isNotNull(), F.xxhash64("print"))), "prints")
     members = prints.where("hash IS NOT NULL").groupBy("hash", "id").agg(F.min("print").alias("print"))
     reps = members.groupBy("hash").agg(F.count("*").alias("copies"), F.min("id").alias("node"), F.min(F.when(F.pmod("id", F.lit(query_every)) == 0, F.col("id"))).alias("asks"), F.min("print").alias("print"))
     second = members.groupBy("hash").agg(F.max("id").alias("last"))
     reps = written(reps.join(second, "hash"), "reps")
-    spots = written(_spots(reps), "spots")
-    asked = _spots(reps.where("asks IS NOT NULL")).select(F.col("node").alias("q"), F.col("pos").alias("at"), F.col("key").alias("k"))
-    hits = spots.join(asked, (F.col("key") == F.col("k")) & (F.col("node") != F.col("q"))).select("q", "node", (F.col("pos") - F.col("at")).alias("shift"))
-    histogram = hits.groupBy("q", "node", "shift").agg(F.count("*").alias("n"))
+    runs = written(_runs(reps), "runs")
+    asked = runs.join(reps.where("asks IS NOT NULL").select(F.col("node").alias("asks")), F.col("node") == F.col("asks"), "left_semi")
+    histogram = _hits(runs, asked).groupBy("q", "node", "shift").agg(F.sum("n").alias("n"))
     best = histogram.groupBy("q", "node").agg(F.max(F.struct("n", (-F.abs("shift")).alias("near"), "shift"))["shift"].alias("shift"))
     mine = reps.select(F.col("node").alias("qn"), F.col("print").alias("mine"))
     theirs = reps.select(F.col("node").alias("tn"), F.col("print").alias("theirs"), "copies")
