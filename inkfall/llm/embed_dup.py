@@ -218,7 +218,9 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     hashes = [F.when(ok, F.xxhash64(F.lit(i), F.transform("embedding", lambda x: x + F.lit(0.0).cast(of)))) for i in (0, 1)]
     rows = rows.withColumns({"h1": hashes[0], "h2": hashes[1]})
     known = rows.where("h1 IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "h1", "h2", "embedding")
-    reps = known.groupBy("h1", "h2", "vec_id").agg(F.min("embedding").alias("embedding")).groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "embedding")).alias("x"), F.count("*").alias("copies"))
+    # vectors travel once, their ids by themselves
+    ids = known.select("h1", "h2", "vec_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("copies"))
+    reps = known.groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "embedding")).alias("x")).join(ids, ["h1", "h2"])
     reps = written(reps.select("h1", "h2", "copies", "x.*"), "reps")
     plan = plan_for(reps.count(), cosine, recall)
     celled = written(reps.select("vec_id", "copies", "embedding").mapInArrow(_celled(plan, kind), "vec_id long, copies long, vector binary, cells array<int>"), "cells")
