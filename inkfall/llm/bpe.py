@@ -147,7 +147,10 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _encoded(path: str, digests: bool, decoded: bool):
+def _encoded(path: str, digests: bool, decoded: bool | str):
+    digest = lambda d: hashlib.sha256(d.encode()).hexdigest()
+    told = {True: lambda d: d, False: lambda d: None, "digest": digest}["digest" if digests else decoded]
+
     def run(batches):
         c = codec(path)
         for batch in batches:
@@ -163,18 +166,18 @@ def _encoded(path: str, digests: bool, decoded: bool):
                 lo += len(some)
                 count = pa.array([len(i) // 4 for i, _ in got], pa.int64())
                 if digests:
-                    cols = [key, count, pa.array([hashlib.sha256(i).hexdigest() for i, _ in got], pa.string()), pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in got], pa.string())]
+                    cols = [key, count, pa.array([hashlib.sha256(i).hexdigest() for i, _ in got], pa.string()), pa.array([told(d) for _, d in got], pa.string())]
                 else:
                     flat = pa.array(np.frombuffer(b"".join([i for i, _ in got]), dtype="<u4").astype(np.int32))
                     ends = np.cumsum([0, *[len(i) // 4 for i, _ in got]]).astype(np.int32)
-                    cols = [key, count, pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([d if decoded else None for _, d in got], pa.string())]
+                    cols = [key, count, pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([told(d) for _, d in got], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "n_tokens", "ids", "decoded"])
 
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, digests: bool = False, key: str = "doc_id", decoded: bool = True) -> DataFrame:
-    """key, n_tokens, ids (array of int), decoded of every document; with digests the SHA-256 of both instead.
+def encode_documents(docs: DataFrame, path: str, digests: bool = False, key: str = "doc_id", decoded: bool | str = True) -> DataFrame:
+    """key, n_tokens, ids (array of int), decoded of every document; with digests the SHA-256 of both instead, with decoded="digest" of the latter.
 
     Encodes as the library does without special tokens around the text, truncation or padding; special
     tokens that stand in a text count as such. Null and empty texts have no tokens and decode to the empty

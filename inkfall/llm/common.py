@@ -43,11 +43,14 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset and all runs on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='inkfall-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found

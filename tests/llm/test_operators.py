@@ -611,8 +611,45 @@ def test_quality(spark, odd, empty):
     kept = quality.kept_documents(odd, model)
     assert kept.columns == odd.columns and kept.count() == sum(r.predicted for r in other)
     assert quality.score_documents(empty, model).count() == 0
-    none = quality.train(table.where("false"), labels)
-    assert quality.score_documents(table, none).count() == len(rows)
+    # without rows to learn from nothing is rejected
+    for none in (quality.train(table.where("false"), labels), quality.train(table, labels.where("false")), quality.train(table, labels, sample_bytes=0)):
+        assert {r.score for r in quality.score_documents(table, none).collect()} == {0.5} and quality.kept_documents(table, none).count() == len(rows)
+
+
+def test_scores_equal_a_plain_convolution():
+    """Symbols, responses, pooling and probability worked out place by place."""
+    rng = np.random.default_rng(4)
+    shape = (quality.WIDTH, quality.SYMBOLS, quality.FILTERS)
+    model = {"filters": rng.normal(size=shape).astype(np.float32), "weights": (rng.normal(size=2 * quality.FILTERS) / 20).astype(np.float32), "bias": np.array([0.1], np.float32)}
+    texts = ["", None, "word word word other", "é" * 700, " ".join(f"w{i % 37}" for i in range(400))]
+    for text, got in zip(texts, quality.scores(model, texts), strict=True):
+        raw = (text or "").encode()
+        starts = [0]
+        while starts[-1] + quality.CHUNK < len(raw):
+            starts.append(starts[-1] + quality.STRIDE)
+        best = []
+        for lo in starts:
+            chunk = raw[lo : lo + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            again = []
+            for i in range(quality.CHUNK):
+                gram = chunk[i : i + quality.GRAM]
+                back = chunk.rfind(gram, 0, i + quality.GRAM - 1) if len(gram) == quality.GRAM and gram.strip(b"\0") else -1
+                again.append(256 + (i - back).bit_length() if back >= 0 else 256)
+            here = range(0, quality.CHUNK - quality.WIDTH + 1, quality.STEP)
+            best.append(np.maximum(0, np.max([sum(model["filters"][o][chunk[i + o]] + model["filters"][o][again[i + o]] for o in range(quality.WIDTH)) for i in here], axis=0)))
+        x = np.concatenate([np.max(best, axis=0), np.mean(best, axis=0)])
+        assert math.isclose(got, 1 / (1 + math.exp(-(x @ model["weights"] + 0.1))), rel_tol=1e-4)
+
+
+def test_training_takes_whole_texts_within_its_bound(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda docs, y: seen.append((docs, y)) or {})
+    rows = [(i, f"{i} " * (20 + i * 30), "a") for i in range(200)] + [(7, "another text of the same id", "a"), (11, None, "a")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    quality.train(docs(spark, rows), labels, sample_bytes=60_000)
+    (got, y), texts = seen[0], {quality.chunks_of(t).tobytes(): len(t or "") for _, t, _ in rows}
+    sizes = [texts[np.ascontiguousarray(d).tobytes()] for d in got]
+    assert 5 < len(got) == len(y) and 30_000 < sum(sizes) <= 60_000
 
 
 def test_repetitions_are_seen():
@@ -708,6 +745,48 @@ def test_audio_search(spark):
     assert audio.search_audio(prints.where("false")).count() == 0
 
 
+def brute_matches(prints, every, most=audio.MAX_ERRORS):
+    """{id: other ids that align over half of the shorter one at least, at the shift at which most steady bits agree}."""
+    mask, out = audio.steady_bits(), {}
+    for q, a in prints.items():
+        if q % every == 0 and len(a):
+            out[q] = set()
+            for i, b in prints.items():
+                shifts = collections.Counter(p - k for k, x in enumerate(a) for p, y in enumerate(b) if (x ^ y) & mask == 0)
+                if i == q or not shifts:
+                    continue
+                shift = max(shifts, key=lambda s: (shifts[s], -abs(s), s))
+                both = [(a[k], b[k + shift]) for k in range(len(a)) if 0 <= k + shift < len(b)]
+                if 2 * len(both) >= min(len(a), len(b)) and sum(((x ^ y) & 0xFFFFFFFF).bit_count() for x, y in both) <= most * 32 * len(both) + 1e-9:
+                    out[q].add(i)
+    return out
+
+
+def test_audio_matches_equal_brute_force(spark, monkeypatch):
+    """Recordings of several lengths, shifted, with held tones and silence in them, and hot keys cut into blocks."""
+    monkeypatch.setattr(audio, "TOGETHER", 8)
+    rng = random.Random(6)
+    value = lambda: rng.randrange(-(1 << 31), 1 << 31)
+    flip = lambda x: x ^ sum(rng.random() < 0.03 and 1 << b for b in range(31))
+    prints = {}
+    base = [[value() for _ in range(rng.randrange(5, 40))] + [77] * rng.choice([0, 30]) for _ in range(12)]
+    for i in range(70):
+        whole = rng.choice(base)
+        cut = rng.randrange(0, 4)
+        prints[i] = [flip(x) if rng.random() < 0.5 else x for x in whole[cut:]]
+    prints |= {70 + i: [77] * (10 + 5 * i) for i in range(12)} | {90: [], 91: [5]}
+    table = spark.createDataFrame([(i, p, "x") for i, p in prints.items()], "id long, print array<int>, ID string")
+    got = {r.id: r for r in audio.search_audio(table, query_every=3).collect()}
+    want = brute_matches(prints, 3)
+    assert {i: r.n_matches for i, r in got.items() if r.n_matches is not None} == {i: len(x) for i, x in want.items()}
+    assert all(r.best_id in want[i] for i, r in got.items() if r.n_matches)
+
+
+def test_a_held_tone_is_one_run(spark):
+    table = spark.createDataFrame([(1, [4] * 5000 + [9]), (2, [4])], "node long, print array<int>")
+    assert sorted((r.node, r.pos, r.len) for r in audio._runs(table).collect()) == [(1, 0, 5001 if audio.steady_bits() & 13 == 0 else 5000), *([] if audio.steady_bits() & 13 == 0 else [(1, 5000, 1)]), (2, 0, 1)]
+
+
 def test_a_shifted_recording_aligns():
     rng = np.random.default_rng(2)
     whole, rate = audio.samples_of(audio.play(rng.normal(size=256)))
