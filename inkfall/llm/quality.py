@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfall.llm.common import pick, place, plain, ship, table
+from inkfall.llm.common import pick, place, plain, ship, table, written
 
 CHUNK, STRIDE = 512, 448
 #: Filters, bytes each covers, and bytes between two responses.
@@ -175,8 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     told = pick(labels, "doc_id", "quality").where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     told = told.groupBy("doc_id").agg(F.max("quality").alias("label")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample_docs)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = pick(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
-    sizes = rows.join(F.broadcast(told), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("h", F.octet_length("text").alias("size"))).alias("x"))
+    rows = pick(docs, "doc_id", "text").select("doc_id", text.alias("text"))
+    # the corpus is read once: the sampled rows are a small table of their own
+    rows = written(rows.join(F.broadcast(told), "doc_id").withColumn("h", F.xxhash64("text")), "sample")
+    sizes = rows.groupBy("doc_id", "label").agg(F.min(F.struct("h", F.octet_length("text").alias("size"))).alias("x"))
     taken, left = [], sample_bytes
     for r in sizes.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").select("doc_id", F.col("label").cast("double"), "x.*").collect():
         if r.size <= left:
@@ -184,9 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
             left -= r.size
     if not taken:
         return fit([], np.zeros(0, dtype=np.float32))
-    chosen = spark.createDataFrame(taken, f"id {dict(rows.dtypes)['doc_id']}, k long, label double")
+    chosen = spark.createDataFrame(taken, f"id {dict(rows.dtypes)['doc_id']}, k long, y double")
     got = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("k")))
-    got = got.groupBy("doc_id").agg(F.min(F.struct(F.col("text").cast("binary").alias("text"), "label")).alias("x")).select("doc_id", "x.*")
+    got = got.groupBy("doc_id").agg(F.min(F.struct(F.col("text").cast("binary").alias("text"), F.col("y").alias("label"))).alias("x")).select("doc_id", "x.*")
     got = sorted(got.collect())  # at most sample_docs rows of at most sample_bytes
     y = np.array([1.0 if r.label else 0.0 for r in got], dtype=np.float32)
     return fit([chunks_of(bytes(r.text)) for r in got], y)
