@@ -57,10 +57,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+    """The frame as a Parquet table in the shared folder: cuts lineage, survives lost executors. It is removed when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/inkfall-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark).rstrip('/')}/inkfall-{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -59,6 +59,26 @@ def test_cascade_is_exact(spark):
     assert url_filter.build_cascade(universe.where("false")).levels == []
 
 
+@pytest.mark.parametrize("slice_bytes", [64, 1 << 20])
+def test_a_cascade_in_slices_is_exact(spark, slice_bytes):
+    rng = random.Random(3)
+    keys = [f"k{rng.randrange(10**9)}" for _ in range(3000)]
+    listed = set(keys[:500])
+    universe = spark.createDataFrame([(k, k in listed) for k in set(keys)], "key string, listed boolean")
+    assert {r.key for r in url_filter.listed_keys(universe, slice_bytes).collect()} == listed
+    assert url_filter.listed_keys(universe.where("NOT listed")).count() == 0 and url_filter.listed_keys(universe.where("listed")).count() == len(listed)
+
+
+def test_a_table_of_listed_hosts(spark):
+    """With nulls, repeated keys and columns whose names clash."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 40}.org/x", "k") for i in range(80)], "page_id long, url string, key string")
+    listed = spark.createDataFrame([("h3.org", 1, "a"), ("h3.org", 2, "b"), (None, 3, "c"), ("h17.org", 4, "d"), ("elsewhere.net", 5, "e")], "key string, page_id int, KEY string")
+    for limit in (url_filter.MAX_BYTES, 1):
+        got = {r.page_id for r in url_filter.filter_urls(pages, listed=listed, max_bytes=limit).where("is_listed").collect()}
+        assert got == {3, 43, 17, 57}
+        assert url_filter.filter_urls(pages, listed=listed.where("false"), max_bytes=limit).where("is_listed").count() == 0
+
+
 def test_urls(spark):
     urls = ["http://Www.Example.COM/en/1?x", "https://a.example.com/en/", "http://b.net/es/1", "http://b.net/de", "http://x.com", "http://x.com/", "no scheme", None, "", "://", "http://casino-win.example.org/x", "http://m.casino-win.example.org", "ftp://a.b//c#d"]
     pages = spark.createDataFrame([(i, u, "h", "H") for i, u in enumerate(urls)], "page_id long, url string, host string, HOST string")
