@@ -10,8 +10,8 @@ from inkfall.functions.lazy import pandas_function
 
 from inkfall.functions.text import col
 
+# The shapes of dates, and their formats to try, month first; a day over 12 in the month's place swaps them.
 _MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
-#: shape: formats to try, month first; a day over 12 in the month's place swaps them.
 SHAPES = {
     r"\b\d{1,2}/\d{1,2}/\d{2,4}\b": ("M/d/yyyy", "d/M/yyyy", "M/d/yy", "d/M/yy"),
     r"\b\d{4}-\d{2}-\d{2}\b": ("yyyy-MM-dd",),

@@ -113,6 +113,54 @@ def form_fields(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return pairs.unionByName(boxes.select(key, "line_no", F.lit("checkbox").alias("field_type"), "label", "value", F.lit(0.9).alias("confidence"), F.lit("pattern_checkbox").alias("source")))
 
 
+def key_values(c, patterns: tuple[str, ...] = (r"([A-Za-z][A-Za-z\s]+):\s*(.+)", r"([A-Za-z][A-Za-z\s]+)\s{2,}(.+)"), chars: int = 2000, most: int = 20):
+    """key, value of what looks like labelled values in the head of a page: at most 20 finds of each pattern, with keys of 3 to 49 characters."""
+    from inkfall.functions.text import col, strip
+
+    head = F.substring(F.coalesce(col(c), F.lit("")), 1, chars)
+
+    def pairs(p):
+        found = F.slice(F.regexp_extract_all(head, F.lit(p), F.lit(0)), 1, most)
+        pair = lambda x: F.struct(strip(F.regexp_extract(x, p, 1)).alias("key"), strip(F.regexp_extract(x, p, 2)).alias("value"))
+        return F.filter(F.transform(found, pair), lambda x: F.length(x["key"]).between(3, 49) & (x["value"] != ""))
+
+    return F.concat(*map(pairs, patterns))
+
+
+def layout_summary(boxes: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, block_count, word_count, avg_word_confidence of word boxes (key, block_num, confidence)."""
+    return boxes.groupBy(key).agg(F.countDistinct(F.coalesce("block_num", F.lit(0))).alias("block_count"), F.count("*").alias("word_count"), F.avg("confidence").alias("avg_word_confidence"))
+
+
+def page_confidence(pages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, avg_ocr_confidence over the pages that were recognised, low_pages: the numbers of those of low confidence."""
+    from inkfall.functions.text import confidence_level
+
+    seen = F.col("confidence").isNotNull()
+    low = F.when(seen & (confidence_level("confidence") == "low"), F.col("page_num"))
+    return pages.groupBy(key).agg(F.avg("confidence").alias("avg_ocr_confidence"), F.sort_array(F.collect_list(low)).alias("low_pages"))
+
+
+def lines_of_words(boxes: DataFrame, key: str = "page_id", tolerance: float = 10) -> DataFrame:
+    """key, line, text: a page's words (text, x, y) in lines, by a fold over its words in the order of y.
+
+    A word joins the line while its y is near that of the line's first word. A page's words are one row.
+    """
+    box = F.struct("y", "x", "text")
+    pages = boxes.groupBy(key).agg(F.sort_array(F.collect_list(box)).alias("words"))
+
+    def step(acc, w):
+        near = (F.size(acc) > 0) & (F.abs(w["y"] - F.get(F.get(acc, F.size(acc) - 1), F.lit(0))["y"]) <= tolerance)
+        joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.get(acc, F.size(acc) - 1), F.array(w))))
+        return F.when(near, joined).otherwise(F.concat(acc, F.array(F.array(w))))
+
+    kinds = dict(boxes.dtypes)
+    lines = F.aggregate("words", F.array().cast(f"array<array<struct<y:{kinds['y']},x:{kinds['x']},text:{kinds['text']}>>>"), step)
+    by_x = lambda line: F.array_sort(F.transform(line, lambda w: F.struct(w["x"].alias("x"), w["text"].alias("text"))))
+    said = F.transform(lines, lambda line: F.array_join(F.transform(by_x(line), lambda w: w["text"]), " "))
+    return pages.select(key, F.posexplode(said).alias("line", "text"))
+
+
 def lines_of_boxes(boxes: list[dict], tolerance: float = 10) -> list[list[dict]]:
     """Word boxes (text, x, y) in lines: a box joins while its y is near that of the line's first box."""
     out: list[list[dict]] = []

@@ -35,6 +35,15 @@ NEAR_SSN = ("ssn", "social security", "ss#", "social sec")
 NEAR_BIRTH = ("dob", "birth", "born", "birthday", "date of birth")
 MAIL_DOMAINS = ("gmail.com", "yahoo.com", "outlook.com", "hotmail.com")
 PRIVATE = ("192.168.", "10.", "172.", "127.")
+# How sure a match is, by what is known about it.
+SURE = {
+    "ssn": {"parted, near a word": 0.95, "parted": 0.7, "bare, near a word": 0.9, "bare": 0.3, "impossible area": 0.5},
+    "credit_card": {"check digit": 0.95, "other": 0.5},
+    "email": {"known domain": 0.95, "other": 0.9},
+    "phone": {"ten digits": 0.85, "other": 0.6},
+    "ip_address": {"private": 0.6, "other": 0.8},
+    "date_of_birth": {"near a word": 0.9, "other": 0.3},
+}
 FLOOR, CONTEXT = 0.5, 50
 SPAN = "array<struct<kind:string,value:string,start:int,end:int,confidence:double,context:string>>"
 
@@ -45,21 +54,18 @@ def luhn(digits: str) -> bool:
 
 
 def _confidence(kind: str, value: str, around: str) -> float:
-    digits = re.sub(r"\D", "", value)
-    if kind == "ssn":
-        near = any(w in around for w in NEAR_SSN)
-        sure = (0.9 if near else 0.3) if re.fullmatch(r"\d{9}", value) else (0.95 if near else 0.7)
-        area = int(digits[:3])
-        return sure / 2 if area in (0, 666) or area >= 900 else sure
-    if kind == "credit_card":
-        return 0.95 if luhn(digits) else 0.5
-    if kind == "email":
-        return 0.95 if value.split("@")[1].lower() in MAIL_DOMAINS else 0.9
-    if kind == "phone":
-        return 0.85 if len(digits) >= 10 else 0.6
-    if kind == "ip_address":
-        return 0.6 if value.startswith(PRIVATE) else 0.8
-    return 0.9 if any(w in around for w in NEAR_BIRTH) else 0.3
+    digits, sure = re.sub(r"\D", "", value), SURE[kind]
+    near = ", near a word" if any(w in around for w in NEAR_SSN) else ""
+    known = {
+        "ssn": lambda: ("bare" if value == digits else "parted") + near,
+        "credit_card": lambda: "check digit" if luhn(digits) else "other",
+        "email": lambda: "known domain" if value.split("@")[1].lower() in MAIL_DOMAINS else "other",
+        "phone": lambda: "ten digits" if len(digits) >= 10 else "other",
+        "ip_address": lambda: "private" if value.startswith(PRIVATE) else "other",
+        "date_of_birth": lambda: "near a word" if any(w in around for w in NEAR_BIRTH) else "other",
+    }[kind]()
+    impossible = kind == "ssn" and (digits[:3] in ("000", "666") or digits[0] == "9")
+    return sure[known] * (sure["impossible area"] if impossible else 1)
 
 
 def spans(text: str | None, floor: float = FLOOR) -> list[dict]:

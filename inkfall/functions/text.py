@@ -245,7 +245,19 @@ def value_kind(c) -> Column:
     )
 
 
+# How names of columns begin, one of which must fit: a capitalised word, capitals alone, two words.
+NAMES = (r"[A-Z][a-z]+", r"[A-Z_]+$", r"\w+\s\w+")
+
+
 def looks_like_name(c) -> Column:
-    """Whether a cell can be a column's name: short, with a letter, no number or date."""
-    v = F.trim(col(c))
-    return F.coalesce((F.length(v).between(1, 50)) & v.rlike("[A-Za-z]") & ~value_kind(v).isin("number", "date", "currency", "percentage"), F.lit(False))
+    """Whether a cell can be a column's name: short, with a letter, of digits for half at most, and of a name's shape."""
+    v = col(c)
+    digits = F.length(F.regexp_replace(v, r"\P{Nd}", ""))
+    return F.coalesce(F.length(v).between(1, 50) & v.rlike(r"\p{L}") & (digits * 2 <= F.length(v)) & v.rlike(f"(?U)^(?:{'|'.join(NAMES)})"), F.lit(False))
+
+
+def header_like(cells) -> Column:
+    """Whether a row (an array of cells) can be a header: over half of what it holds are names, and over four fifths differ."""
+    held = F.array_compact(col(cells))
+    names = F.size(F.filter(held, looks_like_name))
+    return (F.size(held) > 0) & (names * 2 > F.size(held)) & (F.size(F.array_distinct(held)) * 5 > F.size(held) * 4)

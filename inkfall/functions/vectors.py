@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkfall.functions.lazy import bound
 from inkfall.functions.text import col
 
-_HALF = "decimal(20,0)"
-
 
 def dot(a, b) -> Column:
     product = F.zip_with(col(a).cast("array<double>"), col(b).cast("array<double>"), lambda x, y: x * y)
@@ -27,22 +26,19 @@ def cosine(a, b) -> Column:
 
 def normalized(a) -> Column:
     """Of length one; a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n == 0, col(a).cast("array<double>")).otherwise(F.transform(col(a).cast("array<double>"), lambda x: x / n))
+    return bound(col(a).cast("array<double>"), lambda v: bound(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))))
 
 
 def word_spots(word, dim: int) -> Column:
     """Three places and values that a word adds to a hashed embedding: (pos, value) of its MD5 number h,
-    at (h + 7919 j) mod dim with the j-th byte of h over 255, less a half."""
-    digest = F.md5(col(word))
-    high, low = F.conv(F.substring(digest, 1, 16), 16, 10).cast(_HALF), F.conv(F.substring(digest, 17, 16), 16, 10).cast(_HALF)
-    carry = pow(2, 64, dim)
-    h = ((high % dim).cast("long") * carry + (low % dim).cast("long")) % dim
-    spots = [
-        F.struct(
-            ((h + j * 7919) % dim).cast("int").alias("pos"),
-            (F.conv(F.substring(digest, 31 - 2 * j, 2), 16, 10).cast("double") / 255.0 - 0.5).alias("value"),
-        )
-        for j in range(3)
-    ]
-    return F.array(*spots)
+    at (h + 7919 j) mod dim with the j-th byte of h over 255, less a half. The number is taken 32 bits at a time."""
+
+    def spots(parts):
+        h = F.lit(0).cast("long")
+        for i in range(4):
+            h = (h * ((1 << 32) % dim) + F.get(parts, F.lit(i))) % dim
+        byte = lambda j: F.shiftright(F.get(parts, F.lit(3)), 8 * j).bitwiseAND(F.lit(255).cast("long"))
+        spot = lambda h: F.array(*[F.struct(((h + j * 7919) % dim).cast("int").alias("pos"), (byte(j).cast("double") / 255.0 - 0.5).alias("value")) for j in range(3)])
+        return bound(h, spot)
+
+    return bound(F.md5(col(word)), lambda d: bound(F.array(*[F.conv(F.substring(d, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]), spots))
