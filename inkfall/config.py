@@ -30,6 +30,11 @@ class Settings:
     max_tokens: int = 2_000_000
     max_chunks: int = 5000
     max_chunks_per_page: int = 100
+    max_seconds: float = 300
+    max_sheets: int = 50
+    max_rows_per_sheet: int = 100_000
+    max_ocr_pages: int = 200
+    max_cost_usd: float = 1.0
 
 
 DEFAULTS = Settings()
