@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
-from functools import reduce
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -82,9 +82,14 @@ def html_text(raw: str | None) -> dict:
     return {"title": p.title, "text": "\n".join(p.parts)}
 
 
+def _frame(found: list[dict], schema: str) -> pd.DataFrame:
+    """Strings, None where there is none."""
+    return pd.DataFrame({c: pd.Series([x.get(c) for x in found], dtype=object) for c in (f.split()[0] for f in schema.split(", "))})
+
+
 @pandas_function("title string, text string")
 def html_document(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([html_text(x) for x in s], columns=["title", "text"])
+    return _frame([html_text(x) if x is not None else {} for x in s], "title string, text string")
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -136,6 +141,8 @@ DOCUMENT = "text string, title string, author string, created string, modified s
 
 def office_text(kind: str, raw: bytes) -> dict:
     """A broken file gives an error in its own row and never fails the job."""
+    if kind is None:
+        return {}
     try:
         return {"docx": docx_text, "xlsx": xlsx_text, "xlsm": xlsx_text}[kind](raw) | {"error": None}
     except Exception as e:  # whatever a damaged archive raises
@@ -144,32 +151,51 @@ def office_text(kind: str, raw: bytes) -> dict:
 
 @pandas_function(DOCUMENT)
 def office_document(kind: pd.Series, raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([office_text(k, r) for k, r in zip(kind, raw, strict=True)], columns=[x.split()[0] for x in DOCUMENT.split(", ")])
+    return _frame([office_text(k, r) for k, r in zip(kind, raw, strict=True)], DOCUMENT)
+
 
+def delimited(kind: str | None, text: str | None) -> str | None:
+    """Rows of a delimited text as cells joined by bars, without rows whose cells are all blank. A quoted cell may hold anything."""
+    if kind is None or text is None:
+        return None
+    rows = csv.reader(io.StringIO(text, newline=""), delimiter="\t" if kind == "tsv" else ",")
+    return "\n".join(" | ".join(cells) for cells in rows if any(c.strip() for c in cells))
 
-def delimited_text(c, delimiter):
-    """Rows of a delimited text as cells joined by bars, without rows whose cells are all blank."""
-    rows = F.transform(F.split(c, r"\r?\n"), lambda r: F.transform(F.split(r, delimiter), lambda x: F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1")))
-    return F.array_join(F.transform(F.filter(rows, lambda r: F.exists(r, lambda x: x != "")), lambda r: F.array_join(r, " | ")), "\n")
+
+@pandas_function("string")
+def delimited_text(kind: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([delimited(k, x) for k, x in zip(kind, text, strict=True)], dtype=object)
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """path, file_type, text, title, author, created, modified, error: each family by its own reader."""
-    rows = files.withColumn("file_type", extension(F.col("path")))
+    """path, file_type, text, title, author, created, modified, error: each family by its own reader.
+
+    The files are read once: every reader gets the rows of its family, and null for all others.
+    """
+    kind = F.col("file_type")
     text = F.make_valid_utf8(F.col("content").cast("string")) if hasattr(F, "make_valid_utf8") else F.decode("content", "utf-8")
-    none = F.lit(None).cast("string")
-    columns = lambda t, title=none, author=none, created=none, modified=none, error=none: [
-        "path", "file_type", t.alias("text"), title.alias("title"), author.alias("author"), created.alias("created"), modified.alias("modified"), error.alias("error"),
-    ]
-    plain = rows.where(F.col("file_type").isin(*TEXT)).select(*columns(text))
-    tables = rows.where(F.col("file_type").isin(*TABLES)).select(*columns(F.when(F.col("file_type") == "csv", delimited_text(text, ",")).otherwise(delimited_text(text, "\t"))))
-    page = html_document(text)
-    pages = rows.where(F.col("file_type").isin(*PAGES)).withColumn("d", page).select(*columns(F.col("d.text"), F.col("d.title")))
-    office = rows.where(F.col("file_type").isin("docx", "xlsx", "xlsm")).withColumn("d", office_document("file_type", "content"))
-    office = office.select(*columns(F.col("d.text"), F.col("d.title"), F.col("d.author"), F.col("d.created"), F.col("d.modified"), F.col("d.error")))
-    old = rows.where(F.col("file_type") == "doc").select(*columns(F.when(F.length(strip_rtf(text)) > 50, strip_rtf(text))))
-    rest = rows.where(~F.col("file_type").isin(*TEXT, *TABLES, *PAGES, "docx", "xlsx", "xlsm", "doc")).select(*columns(none, error=F.lit("no reader for this type")))
-    return reduce(DataFrame.unionByName, [plain, tables, pages, office, old, rest])
+    rows = files.withColumn("file_type", extension(F.col("path"))).withColumn("raw", F.when(kind.isin(*TEXT, *TABLES, *PAGES, "doc"), text))
+    of = lambda types, c: F.when(kind.isin(*types), c)
+    office = ("docx", "xlsx", "xlsm")
+    rows = rows.select(
+        "path",
+        "file_type",
+        "raw",
+        delimited_text(of(TABLES, kind), of(TABLES, F.col("raw"))).alias("cells"),
+        html_document(of(PAGES, F.col("raw"))).alias("page"),
+        office_document(of(office, kind), of(office, F.col("content"))).alias("office"),
+    )
+    old = F.when(F.length(strip_rtf(F.col("raw"))) > 50, strip_rtf(F.col("raw")))
+    known = kind.isin(*TEXT, *TABLES, *PAGES, *office, "doc")
+    told = lambda name: F.when(kind.isin(*office), F.col(f"office.{name}"))
+    return rows.select(
+        "path",
+        "file_type",
+        F.when(kind.isin(*TEXT), F.col("raw")).when(kind.isin(*TABLES), F.col("cells")).when(kind.isin(*PAGES), F.col("page.text")).when(kind == "doc", old).otherwise(told("text")).alias("text"),
+        F.when(kind.isin(*PAGES), F.col("page.title")).otherwise(told("title")).alias("title"),
+        *[told(x).alias(x) for x in ("author", "created", "modified")],
+        F.when(~known, F.lit("no reader for this type")).otherwise(told("error")).alias("error"),
+    )
 
 
 def export_lines(df: DataFrame, column: str, path: str) -> None:
@@ -177,6 +203,48 @@ def export_lines(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string")).write.mode("overwrite").text(path)
 
 
+def replaced(df: DataFrame, path: str) -> None:
+    """Writes a table beside the old one, which it may be made from, and puts it in its place by a rename.
+
+    A run that fails on the way leaves the old table as it was, or, between the two renames, under its name with .old.
+    """
+    spark = df.sparkSession
+    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    df.write.mode("overwrite").parquet(new)
+    at = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at(path)):
+        fs.delete(at(old), True)
+        fs.rename(at(path), at(old))
+    if not fs.rename(at(new), at(path)):
+        raise OSError(f"{new} could not be renamed")
+    fs.delete(at(old), True)
+
+
+def appended(df: DataFrame, path: str) -> None:
+    df.write.mode("append").parquet(path)
+
+
+def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A state table, such as progress or a quarantine, as `replaced` left it; an empty one before the first time."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    held = next((x for x in (path, f"{path.rstrip('/')}.old") if fs.exists(at(x))), None)
+    return spark.createDataFrame([], schema) if held is None else spark.read.schema(schema).parquet(held)
+
+
+def tenant_folder(base: str, tenant: str) -> str:
+    """A tenant's own folder; a name that would lead out of it is refused."""
+    if not re.fullmatch(r"[A-Za-z0-9_-][A-Za-z0-9._-]{0,63}", tenant):
+        raise ValueError(f"{tenant!r} cannot name a tenant")
+    return f"{base.rstrip('/')}/{tenant}"
+
+
+def log_lines(rows: DataFrame, event: str, level: str = "INFO") -> DataFrame:
+    """value: a line of JSON per row with time, level, event and the row's columns; write it as text."""
+    return rows.select(F.to_json(F.struct(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("timestamp"), F.lit(level).alias("level"), F.lit(event).alias("event"), *rows.columns)).alias("value"))
+
+
 def snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

@@ -37,12 +37,12 @@ def debounced(changes: DataFrame, gap: str, late: str | None = None, ts: str = "
     """Changes are flushed once nothing has happened for a while, each path with its last event.
 
     A quiet spell is one for all paths. A stream asks for a second key beside the session, a constant one here.
-    What a session holds grows with its events, so a gap should be short against their pace.
+    What a session holds grows with its events, so a gap should be short against their pace: its events are sorted by
+    path and time once, and the last of each path is the one before another path. `debounced_table` has no such bound.
     """
     held = changes.withWatermark(ts, late) if late else changes
-    spans = held.withColumn("every", F.lit(0)).groupBy(F.session_window(ts, gap).alias("w"), "every").agg(F.collect_list(F.struct(F.col(path).alias("path"), F.col(ts).alias("ts"), F.col(event).alias("event"))).alias("seen"))
-    paths = F.array_distinct(F.transform("seen", lambda x: x["path"]))
-    last = F.transform(paths, lambda p: F.struct(p.alias("path"), F.array_max(F.transform(F.filter("seen", lambda x: x["path"] == p), lambda x: F.struct(x["ts"].alias("ts"), x["event"].alias("event"))))["event"].alias("event")))
+    spans = held.withColumn("every", F.lit(0)).groupBy(F.session_window(ts, gap).alias("w"), "every").agg(F.sort_array(F.collect_list(F.struct(F.col(path).alias("path"), F.col(ts).alias("ts"), F.col(event).alias("event")))).alias("seen"))
+    last = F.filter("seen", lambda x, i: ~F.get("seen", i + 1)["path"].eqNullSafe(x["path"]) | (i == F.size("seen") - 1))
     return spans.select("w.start", F.explode(last).alias("s")).select("start", "s.path", "s.event")
 
 
@@ -76,20 +76,39 @@ def once_each(stream: DataFrame, keys: list[str], late: str, ts: str = "ts") ->
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Runs what is there to its end into a table in memory."""
+    """Runs what is there to its end into a table in the driver's memory: for results of a bounded size, such as windows in a report.
+
+    `run_to` writes results that grow.
+    """
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
 
-def merging_sink(read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: a batch's last row per key replaces what the table holds. A batch that is run again gives the same table."""
-    from inkfall.operators.operations import upsert
+def run_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Runs what is there to its end into Parquet files, each row once."""
+    q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def watched(spark: SparkSession, folder: str, files_at_once: int = 1000) -> DataFrame:
+    """path, modified, size, content of files as they come into a folder or change. What is deleted shows in a scan: see file_changes."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_at_once).load(folder)
+    return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
+
+
+def merging_sink(read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], keys: list[str], by: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a batch's last row per key, by the given columns, replaces what the table holds.
+
+    A batch that is run again gives the same table.
+    """
+    from inkfall.operators.operations import latest, upsert
 
     def run(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates(keys)
         old = read()
-        write(new if old is None else upsert(old, new, keys))
+        write(latest(batch, keys, by) if old is None else upsert(old, batch, keys, by))
 
     return run
 
