@@ -603,7 +603,7 @@ def page_total(s, d):
 
 
 @query("""WITH v AS (SELECT 'l_quantity' AS "column", l_quantity::VARCHAR AS value, 'number' AS kind FROM lineitem UNION ALL SELECT 'l_returnflag', l_returnflag, 'text' FROM lineitem UNION ALL SELECT 'l_linenumber', l_linenumber::VARCHAR, 'number' FROM lineitem)
-SELECT "column", count(*) AS non_empty, any_value(kind) AS kind, count(DISTINCT value) AS distinct_values FROM v WHERE value IS NOT NULL GROUP BY 1""")
+SELECT "column", count(*) AS non_empty, any_value(kind) AS kind, count(DISTINCT value) AS distinct_values, list(DISTINCT value ORDER BY value)[1:5] AS samples FROM v WHERE value IS NOT NULL GROUP BY 1""")
 def column_profile(s, d):
     return O.column_profile(t(s, d, "lineitem"), ["l_quantity", "l_returnflag", "l_linenumber"])
 
@@ -657,7 +657,11 @@ def stream_tumbling(s, d):
     """The same day windows, run as a stream over the table's files to its end."""
     name = f"tumbling_{uuid.uuid4().hex}"
     stream = M.event_stream(s, f"{d}/events*.parquet", t(s, d, "events"))
-    folder = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp()}"
+    folder = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
+    if not folder:
+        if not s.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp()}"
     M.run_available(M.tumbling(stream, "1 day"), name, f"{folder}/{name}")
     return s.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
@@ -670,3 +674,5 @@ def entry_search(s, d):
 
 
 ORACLES["entry_search"] = search_sql("(hein OR ering) NOT thin", "ORDER BY score DESC, id LIMIT 20", "id, filename, file_type, round(score, 6) AS score, CASE WHEN length(content) <= 150 THEN content WHEN strpos(reverse(content[1:150]), ' ') > 0 THEN content[1:150 - strpos(reverse(content[1:150]), ' ')] || '...' ELSE content[1:150] || '...' END AS snippet")
+
+from inkfall import queries_ops as _more  # noqa: E402, F401  registers the rest

@@ -73,25 +73,71 @@ def test_redaction_leaves_no_address(text):
     assert not [s for s in P.spans(P.redacted(text)) if s["kind"] == "email"]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="abc .!", min_size=1, max_size=900), max_size=8))
-def test_chunks_cover_the_words(paragraphs):
-    text = "\n\n".join(paragraphs).strip()
-    got = C.plain_chunks(text)
-    if len(text) >= 400:
-        assert all(c for c, _, _ in got if c)
-        assert all(b >= a for _, a, b in got)
-    elif len(text) < 20:
-        assert got == []
-
-
-def test_chunk_rules():
-    assert C.plain_chunks("x" * 19) == [] and len(C.plain_chunks("x" * 20)) == 1
-    long = C.plain_chunks("y" * 5000)
-    assert [len(c) for c, _, _ in long] == [2000, 2000, 1400]
-    packed = C.plain_chunks("\n\n".join(["word " * 180] * 4))
-    assert len(packed) >= 2 and all(len(c) <= 2200 for c, _, _ in packed)
-    assert [t for t, _ in C.sections_of("intro\n# One\na\n1. Two\nb")] == [None, "One", "Two"]
+def cut(spark, texts, how=C.chunk_plain):
+    """The chunks of each text."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", how("t").alias("c")).collect()
+    return [r.c for r in sorted(rows)]
+
+
+def plain_model(text):
+    """Chunks as stretches of a text whose paragraphs are parted by one blank line each."""
+    text = re.sub(r"\n\s*\n", "\n\n", (text or "").strip())
+    if len(text) < 400:
+        return [(text, 0)] * (len(text) >= 20)
+    ends = [m.end() for m in re.finditer("\n\n", text)] + [len(text)]
+    out, start, at = [], 0, 0
+    say = lambda a, b, least: out.extend([(text[a:b].strip(), a)] * (len(text[a:b].strip()) >= least))
+    for end in ends:
+        if end - at > 2000:
+            say(start, at, 1)
+            packed = []
+            for s in re.split(r"(?<=[.!?])\s+", text[at:end]):
+                parts = [s] if len(s) <= 2000 else [s[i : i + 2000] for i in range(0, len(s), 1800)]
+                if len(parts) > 1 or not packed or packed[-1][1] or len(packed[-1][0]) + len(s) > 2000:
+                    packed += [(x, len(parts) > 1) for x in parts]  # a window takes in nothing more
+                elif packed[-1][0]:
+                    packed[-1] = (packed[-1][0] + " " + s, False)
+                else:
+                    packed[-1] = (s, False)
+            out += [(x.strip(), at) for x, window in packed if x]
+            start = end
+        elif end - start > 2000:
+            say(start, at, 50)
+            tail = max(start, at - 200)
+            blank = text.find(" ", tail, at)
+            start = blank + 1 if blank > tail else tail
+        at = end
+    say(start, at, 50)
+    return out
+
+
+def test_chunks_equal_a_model_over_places(spark, duck):
+    rng = __import__("random").Random(3)
+    texts = [r[0] for r in duck.sql("SELECT text FROM documents").fetchall()]
+    for _ in range(150):
+        texts.append("\n\n".join("".join(rng.choice("abcdé.!? ") for _ in range(rng.choice([5, 90, 700, 1900, 5000]))) for _ in range(rng.randrange(1, 9))))
+    for text, got in zip(texts, cut(spark, texts), strict=True):
+        assert [(c.content, c.start_char) for c in got] == plain_model(text)
+        assert [c.chunk_index for c in got] == list(range(len(got))) and all(c.token_count == len(c.content) // 4 and c.section is None for c in got)
+
+
+def test_chunk_rules(spark):
+    short, least, long, packed, none = cut(spark, ["x" * 19, "x" * 20, "y" * 5000, "\n\n".join(["word " * 180] * 4), None])
+    assert short == [] and len(least) == 1 and none == []
+    assert [len(c.content) for c in long] == [2000, 2000, 1400]
+    assert len(packed) >= 2 and all(len(c.content) <= 2200 for c in packed)
+    titles = spark.createDataFrame([("intro\n# One\na\n1. Two\nb",)], "t string").select(C.sections_of("t").alias("s")).first().s
+    assert [s.title for s in titles] == [None, "One", "Two"] and [s.body for s in titles] == ["intro", "# One\na", "1. Two\nb"]
+
+
+def test_section_chunks(spark, duck):
+    """Every chunk of whole documents lies in its section, and every section of 200 to 2000 characters in one paragraph is a chunk."""
+    texts = [r[0] for r in duck.sql("SELECT text FROM documents").fetchall()] + ["# A\n" + "word " * 60 + "\nII. B\n" + "other " * 50 + "\nSHORT PART\nfew words"]
+    for text, got in zip(texts, cut(spark, texts, C.chunk_sections), strict=True):
+        assert all(len(c.content) >= 200 for c in got)
+        for c in got:
+            assert all(re.sub(r"\s+", " ", part) in re.sub(r"\s+", " ", text) for part in re.split(r"\n\n", c.content)[1:-1])
+    assert [(c.section, c.content[:5]) for c in got] == [("A", "# A\nw"), ("B", "II. B")]
 
 
 def test_tables_and_forms(spark):
