@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from inkfall.llm.common import pick, ship, table
 
 #: Code points a rolling hash covers (a power of two), and the mean length of a chunk.
 WINDOW, MEAN = 16, 512
-#: Characters kept by a worker's memory of cores and of words; it starts anew beyond that.
+#: Characters kept by a worker's memory of cores, which starts anew beyond that, and of words, of which the older half is forgotten.
 CORE_CHARS, WORD_CHARS = 2_000_000, 2_000_000
 #: Characters of the documents that are encoded together.
 BATCH_CHARS = 1_000_000
@@ -76,19 +77,21 @@ class Codec:
             raise ValueError("only tokenizers whose decoding joins tokens by spaces are supported")
         self.names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.special = sorted(special)
+        self.special = re.compile("|".join(map(re.escape, special)))
         self.between, self.between_id = min(special.items(), key=lambda x: x[1])
-        self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, str] = {}
+        self.ids: dict[str, bytes] = {"": b""}
+        self.decoded: dict[str, str] = {"": ""}
+        self.old_ids: dict[str, bytes] = {}
+        self.old_decoded: dict[str, str] = {}
         self.cores: dict[str, tuple[bytes, str]] = {}
         self.core_chars = 0
-        self.word_chars = WORD_CHARS + 1
+        self.word_chars = 0
         self.reused = self.met = 0
 
     def _learn(self, words: list[str]) -> None:
         """A special token stands between words that are encoded together, as nothing reaches over it."""
-        plain = [w for w in words if not any(x in w for x in self.special)]
-        odd = [w for w in words if any(x in w for x in self.special)]
+        odd = list(filter(self.special.search, words))
+        plain = list(set(words).difference(odd)) if odd else words
         groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([self.between.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
@@ -111,7 +114,8 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids, decoded text) of each text."""
-        if self.word_chars > WORD_CHARS:
+        if 2 * self.word_chars > WORD_CHARS:  # what the next texts hold comes back from the older half
+            self.old_ids, self.old_decoded = self.ids, self.decoded
             self.ids, self.decoded, self.word_chars = {"": b""}, {"": ""}, 0
         if self.core_chars > CORE_CHARS:
             self.cores, self.core_chars = {}, 0
@@ -125,7 +129,12 @@ class Codec:
             need.update(p.split(" "))
         for p in joins:
             need.update(p.split(" "))
-        self._learn([w for w in need if w not in self.ids])
+        need -= self.ids.keys()
+        known = need & self.old_ids.keys()
+        self.ids.update((w, self.old_ids[w]) for w in known)
+        self.decoded.update((w, self.old_decoded[w]) for w in known)
+        self.word_chars += sum(map(len, known))
+        self._learn(list(need - known))
         for p in new_cores:
             self.cores[p] = self._joined(p)
             self.core_chars += len(p)
