@@ -67,9 +67,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that a Python worker gets at once; Spark's own limit is eight times that.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per session: Python workers import it from there."""
+    """Sends this package to the executors, once per session: Python workers import it from there.
+
+    Where the session does not say how many bytes a worker gets at once, it gets few, as texts may be long.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES[0], "") == "":
+        spark.conf.set(*BATCH_BYTES)
     if getattr(sc, "_inkfall_shipped", False):
         return
     data = io.BytesIO()
