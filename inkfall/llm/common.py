@@ -77,7 +77,7 @@ def ship(spark: SparkSession) -> None:
     Where the session does not say how many bytes a worker gets at once, it gets few, as texts may be long.
     """
     sc = spark.sparkContext
-    if spark.conf.get(BATCH_BYTES[0], "") == "":
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
         spark.conf.set(*BATCH_BYTES)
     if getattr(sc, "_inkfall_shipped", False):
         return
