@@ -183,6 +183,17 @@ def aligned_fields(boxes: list[dict], gap: float = 50) -> list[tuple[str, str]]:
     return out
 
 
+@pandas_function("array<struct<label:string,value:string>>")
+def aligned_in(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda boxes: [{"label": a, "value": b} for a, b in aligned_fields(list(boxes))])
+
+
+def aligned_rows(boxes: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, label, value of the lines of a page whose words (text, x, y, w) stand in two groups. A page's words are one row."""
+    pages = boxes.groupBy(key).agg(F.collect_list(F.struct("text", "x", "y", "w")).alias("boxes"))
+    return pages.select(key, F.inline(aligned_in("boxes")))
+
+
 def otsu_threshold(histogram: DataFrame) -> DataFrame:
     """The grey level of (level, n) rows that parts them best: the largest variance between both sides."""
     up = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)  # 256 rows

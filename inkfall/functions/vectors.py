@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfall.functions.lazy import bound
@@ -29,16 +29,18 @@ def normalized(a) -> Column:
     return bound(col(a).cast("array<double>"), lambda v: bound(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))))
 
 
-def word_spots(word, dim: int) -> Column:
-    """Three places and values that a word adds to a hashed embedding: (pos, value) of its MD5 number h,
-    at (h + 7919 j) mod dim with the j-th byte of h over 255, less a half. The number is taken 32 bits at a time."""
-
-    def spots(parts):
-        h = F.lit(0).cast("long")
-        for i in range(4):
-            h = (h * ((1 << 32) % dim) + F.get(parts, F.lit(i))) % dim
-        byte = lambda j: F.shiftright(F.get(parts, F.lit(3)), 8 * j).bitwiseAND(F.lit(255).cast("long"))
-        spot = lambda h: F.array(*[F.struct(((h + j * 7919) % dim).cast("int").alias("pos"), (byte(j).cast("double") / 255.0 - 0.5).alias("value")) for j in range(3)])
-        return bound(h, spot)
-
-    return bound(F.md5(col(word)), lambda d: bound(F.array(*[F.conv(F.substring(d, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]), spots))
+def word_spots(words: DataFrame, dim: int, word: str = "word") -> DataFrame:
+    """pos, value in place of a word: the three places and values that it adds to a hashed embedding, of its MD5 number h
+    at (h + 7919 j) mod dim the j-th byte of h over 255, less a half.
+
+    The number is taken 32 bits at a time, in steps of plain columns that compile.
+    """
+    keep = [c for c in words.columns if c != word]
+    digits = words.select(*keep, F.md5(word).alias("digits"))
+    parts = digits.select(*keep, *[F.conv(F.substring("digits", 1 + 8 * i, 8), 16, 10).cast("long").alias(f"part{i}") for i in range(4)])
+    h = F.lit(0).cast("long")
+    for i in range(4):
+        h = (h * ((1 << 32) % dim) + F.col(f"part{i}")) % dim
+    byte = lambda j: F.shiftright("part3", 8 * j).bitwiseAND(F.lit(255).cast("long"))
+    spot = lambda j: F.struct(((F.col("h") + j * 7919) % dim).cast("int").alias("pos"), (byte(j).cast("double") / 255.0 - 0.5).alias("value"))
+    return parts.select(*keep, "part3", h.alias("h")).select(*keep, F.inline(F.array(*[spot(j) for j in range(3)])))

@@ -281,6 +281,18 @@ def progress_of(sessions: DataFrame) -> DataFrame:
     return sessions.withColumns({"percent": F.when(F.col("total") > 0, 100.0 * F.col("processed") / F.col("total")).otherwise(F.lit(0.0)), "rate": rate, "eta_s": F.when(rate > 0, (F.col("total") - F.col("processed")) / rate)})
 
 
+#: Which states a session can be paused, resumed and cancelled from.
+MOVES = {"paused": ("running",), "running": ("paused",), "cancelled": ("running", "paused")}
+
+
+def sessions_moved(sessions: DataFrame, ids: DataFrame, to: str) -> DataFrame:
+    """Sessions (id, status) after some were paused, resumed or cancelled; one whose state does not allow it stays as it is."""
+    hit = ids.select(F.col("id").alias("hit")).distinct()
+    rows = sessions.join(hit, F.col("id") == F.col("hit"), "left")
+    moves = F.col("hit").isNotNull() & F.col("status").isin(*MOVES[to])
+    return rows.withColumn("status", F.when(moves, to).otherwise(F.col("status"))).drop("hit")
+
+
 # alerts: fixed limits of the ladder, warning and critical
 LADDER = {"error_rate": (0.1, 0.3), "queue": (100, 500), "cost": (10, 50)}
 # alerts: fixed limits with one severity

@@ -46,7 +46,7 @@ def hashed_embeddings(docs: DataFrame, dim: int = 384, key: str = "doc_id", text
     Words are hashed where they stand, and their values summed up before the shuffle: no more than dim rows of a document travel.
     """
     tokens = docs.select(key, F.explode(F.split(F.lower(F.trim(F.coalesce(F.col(text), F.lit("")))), r"\s+")).alias("word")).where("word <> ''")
-    spots = tokens.select(key, F.inline(word_spots(F.col("word"), dim)))
+    spots = word_spots(tokens, dim)
     sums = spots.groupBy(key, "pos").agg(F.sum("value").alias("x"))
     flat = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "x"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))

@@ -29,7 +29,8 @@ def indexed_search_page(s, d):
     return page.select("id", "filename", F.round("score", 6).alias("score"), F.length("content").cast("long").alias("n_chars"))
 
 
-@query(f"""WITH {_DOCS}, a AS (SELECT id, 'content' AS col, {_tokens("content")} AS w FROM docs UNION ALL SELECT id, 'filename', {_tokens("filename")} FROM docs),
+@query(f"""WITH {_DOCS}, a AS (SELECT id, 'content' AS col, {_tokens("content")} AS w
+FROM docs UNION ALL SELECT id, 'filename', {_tokens("filename")} FROM docs),
 p AS (SELECT id AS doc_id, col, unnest(w) AS term, (generate_subscripts(w, 1) - 1)::INTEGER AS pos FROM a)
 SELECT doc_id, col, term, array_to_string(list(pos ORDER BY pos), ',') AS positions FROM p GROUP BY ALL""")
 def postings(s, d):
@@ -55,13 +56,16 @@ def chunk_counts(s, d):
 
 
 @query("""WITH f AS (SELECT unnest(['src1', 'src2/', 'nowhere']) AS folder)
-SELECT folder, count(doc_id) AS files, coalesce(sum(n_chars), 0)::BIGINT AS bytes FROM f LEFT JOIN documents ON starts_with(source || '/' || doc_id, rtrim(folder, '/') || '/') GROUP BY folder""")
+SELECT folder, count(doc_id) AS files, coalesce(sum(n_chars), 0)::BIGINT AS bytes
+FROM f LEFT JOIN documents ON starts_with(source || '/' || doc_id, rtrim(folder, '/') || '/')
+GROUP BY folder""")
 def folder_counts(s, d):
     files = t(s, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"))
     return O.folder_counts(files, ["src1", "src2/", "nowhere"])
 
 
-@query("""WITH b AS (SELECT doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0), a AS (SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 3 <> 0)
+@query("""WITH b AS (SELECT doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0), a AS (SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN
+'x' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 3 <> 0)
 SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'created' WHEN a.path IS NULL THEN 'deleted' ELSE 'modified' END AS event
 FROM b FULL JOIN a ON a.path = b.path WHERE b.path IS NULL OR a.path IS NULL OR a.h <> b.h""")
 def file_changes(s, d):
@@ -87,7 +91,8 @@ _REGISTER = "r AS (SELECT o_custkey AS path, max(o_orderkey::VARCHAR) AS hash, a
 
 
 @query(f"""WITH {_REGISTER}, n AS (SELECT c_custkey AS path, 'new' AS hash, c_mktsegment AS content_hash FROM customer WHERE c_custkey % 4 = 0)
-SELECT coalesce(n.path, r.path) AS path, coalesce(n.content_hash, r.content_hash) AS content_hash, ((r.path IS NOT NULL)::INTEGER + (n.path IS NOT NULL)::INTEGER) AS version,
+SELECT coalesce(n.path, r.path) AS path, coalesce(n.content_hash, r.content_hash) AS content_hash, ((r.path IS NOT NULL)::INTEGER + (n.path IS NOT
+NULL)::INTEGER) AS version,
     n.path IS NOT NULL AS fresh, r.path IS NULL OR n.path IS NULL AS once FROM r FULL JOIN n ON r.path = n.path""")
 def register_documents(s, d):
     new = t(s, d, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("path"), F.lit("new").alias("hash"), F.col("c_mktsegment").alias("content_hash"))
@@ -124,7 +129,8 @@ def orphans_of_null(s, d):
     return O.orphans(t(s, d, "documents").select("doc_id"), labels, "doc_id")
 
 
-@query("SELECT doc_id, length(text) AS n_chars, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))::BIGINT AS n_words FROM documents")
+@query("""SELECT doc_id, length(text) AS n_chars, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))::BIGINT AS n_words
+FROM documents""")
 def listing(s, d):
     words = F.size(F.array_remove(F.split("text", r"\s+"), ""))
     return t(s, d, "documents").select("doc_id", F.length("text").cast("long").alias("n_chars"), words.cast("long").alias("n_words"))
@@ -138,8 +144,11 @@ def client_filter(s, d):
 # guardrails and quarantine
 
 
-@query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_totalprice * 100 > 20000000 THEN 'file_bytes' END, CASE WHEN o_orderkey % 13 > 8 THEN 'pages' END, CASE WHEN o_orderkey % 7 > 5 THEN 'seconds' END,
-    CASE WHEN o_orderkey % 5 > 3 THEN 'sheets' END, CASE WHEN o_orderkey % 11 > 9 THEN 'rows_per_sheet' END, CASE WHEN o_orderkey % 17 > 14 THEN 'ocr_pages' END, CASE WHEN o_orderkey % 19 > 17 THEN 'cost_usd' END], lambda x: x IS NOT NULL), ',') AS violations FROM orders""")
+@query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_totalprice * 100 > 20000000 THEN 'file_bytes' END, CASE WHEN o_orderkey % 13 > 8 THEN
+'pages' END, CASE WHEN o_orderkey % 7 > 5 THEN 'seconds' END,
+CASE WHEN o_orderkey % 5 > 3 THEN 'sheets' END, CASE WHEN o_orderkey % 11 > 9 THEN 'rows_per_sheet' END, CASE WHEN o_orderkey % 17 > 14 THEN
+'ocr_pages' END, CASE WHEN o_orderkey % 19 > 17 THEN 'cost_usd' END], lambda x: x IS NOT NULL), ',') AS violations
+FROM orders""")
 def guardrail_columns(s, d):
     """The limits that a table's columns are held against, beside those of its text."""
     key = F.col("o_orderkey")
@@ -181,7 +190,8 @@ def progress_stats(s, d):
     return O.progress_stats(t(s, d, "orders").select(stage.alias("stage"), (F.col("o_orderkey") % 5).alias("retry_count")))
 
 
-@query(f"WITH {_PROGRESS} SELECT stage, retry_count, count(*) AS n FROM p WHERE stage = 'embedding' OR (stage = 'failed' AND retry_count < 3) GROUP BY ALL")
+@query(f"""WITH {_PROGRESS} SELECT stage, retry_count, count(*) AS n FROM p WHERE stage = 'embedding' OR (stage = 'failed' AND retry_count < 3)
+GROUP BY ALL""")
 def resumable_work(s, d):
     stage = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "completed").otherwise("embedding")
     return O.resumable(t(s, d, "orders").select(stage.alias("stage"), (F.col("o_orderkey") % 5).alias("retry_count"))).groupBy("stage", "retry_count").agg(F.count("*").alias("n"))
@@ -190,10 +200,15 @@ def resumable_work(s, d):
 # metrics, alerts, audit
 
 
-@query("""WITH m AS (SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'error_rate' WHEN 1 THEN 'queue' WHEN 2 THEN 'cost' WHEN 3 THEN 'chunks' ELSE 'failures' END AS kind,
-    CASE event_id % 5 WHEN 0 THEN value / 100 WHEN 1 THEN value * 8 WHEN 2 THEN value WHEN 3 THEN value * 20 ELSE value / 20 END AS measure FROM events),
-a AS (SELECT id, kind, CASE kind WHEN 'error_rate' THEN CASE WHEN measure >= 0.3 THEN 'critical' WHEN measure >= 0.1 THEN 'warning' END WHEN 'queue' THEN CASE WHEN measure >= 500 THEN 'critical' WHEN measure >= 100 THEN 'warning' END
-    WHEN 'cost' THEN CASE WHEN measure >= 50 THEN 'critical' WHEN measure >= 10 THEN 'warning' END WHEN 'chunks' THEN CASE WHEN measure >= 1000 THEN 'warning' END ELSE CASE WHEN measure >= 3 THEN 'error' END END AS severity FROM m)
+@query("""WITH m AS (SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'error_rate' WHEN 1 THEN 'queue' WHEN 2 THEN 'cost' WHEN 3 THEN 'chunks' ELSE
+'failures' END AS kind,
+CASE event_id % 5 WHEN 0 THEN value / 100 WHEN 1 THEN value * 8 WHEN 2 THEN value WHEN 3 THEN value * 20 ELSE value / 20 END AS measure
+FROM events),
+a AS (SELECT id, kind, CASE kind WHEN 'error_rate' THEN CASE WHEN measure >= 0.3 THEN 'critical' WHEN measure >= 0.1 THEN 'warning' END WHEN 'queue'
+THEN CASE WHEN measure >= 500 THEN 'critical' WHEN measure >= 100 THEN 'warning' END
+WHEN 'cost' THEN CASE WHEN measure >= 50 THEN 'critical' WHEN measure >= 10 THEN 'warning' END WHEN 'chunks' THEN CASE WHEN measure >= 1000 THEN
+'warning' END ELSE CASE WHEN measure >= 3 THEN 'error' END END AS severity
+FROM m)
 SELECT * FROM a WHERE severity IS NOT NULL""")
 def alert_rules(s, d):
     rest, value = F.col("event_id") % 5, F.col("value")
@@ -206,7 +221,8 @@ def _alerts(s, d):
     return t(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3 == 0).alias("resolved"), F.col("event_type").alias("alert_type"))
 
 
-@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 168 HOUR AND event_id % 3 <> 0 ORDER BY ts DESC, event_id LIMIT 100")
+@query("""SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 168 HOUR AND event_id % 3 <> 0
+ORDER BY ts DESC, event_id LIMIT 100""")
 def active_alerts(s, d):
     return O.active_alerts(_alerts(s, d), F.lit("2024-01-20").cast("timestamp")).select("event_id")
 
@@ -222,17 +238,22 @@ def alerts_resolve(s, d):
     return O.resolved(rows, rows.where("id % 4 = 0"), "seen", F.lit("2024-01-01").cast("timestamp")).select("event_id", "resolved", "note")
 
 
-@query("SELECT 'total' AS kind, '' AS name, count(*) AS n FROM events UNION ALL SELECT 'errors', '', count(*) FROM events WHERE event_type = 'error' UNION ALL SELECT 'action', event_type, count(*) FROM events GROUP BY 2")
+@query("""SELECT 'total' AS kind, '' AS name, count(*) AS n FROM events UNION ALL SELECT 'errors', '', count(*)
+FROM events WHERE event_type = 'error' UNION ALL SELECT 'action', event_type, count(*)
+FROM events GROUP BY 2""")
 def audit_stats(s, d):
     return O.audit_stats(t(s, d, "events").select(F.col("event_type").alias("action"), (F.col("event_type") != "error").alias("success")))
 
 
-@query(f"WITH {_EVENTS} SELECT count(*) AS documents, count(*) FILTER (errors = 0) AS succeeded, round(count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 3.6e9, 6) AS docs_per_hour FROM e")
+@query(f"""WITH {_EVENTS} SELECT count(*) AS documents, count(*) FILTER (errors = 0) AS succeeded, round(count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) *
+3.6e9, 6) AS docs_per_hour FROM e""")
 def session_counters(s, d):
     return O.session_stats(_metrics(s, d)).select("documents", "succeeded", F.round("docs_per_hour", 6).alias("docs_per_hour"))
 
 
-@query("""SELECT o_orderkey, round(100.0 * (o_orderkey % 50) / 80, 6)::DOUBLE AS percent, round((o_orderkey % 50) / 7.0, 6)::DOUBLE AS rate, CASE WHEN o_orderkey % 50 > 0 THEN round((80 - o_orderkey % 50) / ((o_orderkey % 50) / 7.0), 6)::DOUBLE END AS eta_s FROM orders""")
+@query("""SELECT o_orderkey, round(100.0 * (o_orderkey % 50) / 80, 6)::DOUBLE AS percent, round((o_orderkey % 50) / 7.0, 6)::DOUBLE AS rate, CASE WHEN
+o_orderkey % 50 > 0 THEN round((80 - o_orderkey % 50) / ((o_orderkey % 50) / 7.0), 6)::DOUBLE END AS eta_s
+FROM orders""")
 def session_progress(s, d):
     rows = t(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 50).alias("processed"), F.lit(80).alias("total"), F.lit(7.0).alias("seconds"))
     return O.progress_of(rows).select("o_orderkey", *[F.round(c, 6).alias(c) for c in ("percent", "rate", "eta_s")])
@@ -246,31 +267,40 @@ def _boxes(s, d):
     return t(s, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), line.alias("block_num"), (F.col("l_discount") * 10).alias("confidence"), (line * 7 % 40).cast("double").alias("y"), (line * 13 % 29).cast("double").alias("x"), F.concat("l_returnflag", "l_linestatus").alias("text"))
 
 
-@query("SELECT l_orderkey AS page_id, count(DISTINCT l_linenumber) AS block_count, count(*) AS word_count, round(avg(l_discount * 10)::DOUBLE, 9) AS avg_word_confidence FROM lineitem GROUP BY 1")
+@query("""SELECT l_orderkey AS page_id, count(DISTINCT l_linenumber) AS block_count, count(*) AS word_count, round(avg(l_discount * 10)::DOUBLE, 9) AS
+avg_word_confidence FROM lineitem GROUP BY 1""")
 def layout_summary(s, d):
     return L.layout_summary(_boxes(s, d)).withColumn("avg_word_confidence", F.round("avg_word_confidence", 9))
 
 
 @query("""SELECT l_orderkey AS doc_id, round(avg(CASE WHEN l_linenumber % 4 <> 0 THEN l_discount * 10 END)::DOUBLE, 9) AS avg_ocr_confidence,
-    array_to_string(coalesce(list(l_linenumber ORDER BY l_linenumber) FILTER (l_linenumber % 4 <> 0 AND l_discount * 10 <= 0.6), []), ',') AS low_pages FROM lineitem GROUP BY 1""")
+array_to_string(coalesce(list(l_linenumber ORDER BY l_linenumber) FILTER (l_linenumber % 4 <> 0 AND l_discount * 10 <= 0.6), []), ',') AS low_pages
+FROM lineitem GROUP BY 1""")
 def page_confidence(s, d):
     pages = t(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_num"), F.when(F.col("l_linenumber") % 4 != 0, F.col("l_discount") * 10).alias("confidence"))
     return L.page_confidence(pages).select("doc_id", F.round("avg_ocr_confidence", 9).alias("avg_ocr_confidence"), F.array_join(F.col("low_pages").cast("array<string>"), ",").alias("low_pages"))
 
 
-@query("""WITH RECURSIVE b AS (SELECT l_orderkey AS page_id, (l_linenumber * 7 % 40)::DOUBLE AS y, (l_linenumber * 13 % 29)::DOUBLE AS x, l_returnflag || l_linestatus AS text,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_linenumber * 7 % 40), (l_linenumber * 13 % 29), l_returnflag || l_linestatus) AS n FROM lineitem),
-w AS (SELECT *, y AS first, 0 AS line FROM b WHERE n = 1 UNION ALL SELECT b.*, CASE WHEN abs(b.y - w.first) <= 10 THEN w.first ELSE b.y END, w.line + (abs(b.y - w.first) > 10)::INTEGER FROM w JOIN b ON b.page_id = w.page_id AND b.n = w.n + 1)
+@query("""WITH RECURSIVE b AS (SELECT l_orderkey AS page_id, (l_linenumber * 7 % 40)::DOUBLE AS y, (l_linenumber * 13 % 29)::DOUBLE AS x, l_returnflag ||
+l_linestatus AS text,
+row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_linenumber * 7 % 40), (l_linenumber * 13 % 29), l_returnflag || l_linestatus) AS n
+FROM lineitem),
+w AS (SELECT *, y AS first, 0 AS line FROM b WHERE n = 1 UNION ALL SELECT b.*, CASE WHEN abs(b.y - w.first) <= 10 THEN w.first ELSE b.y END, w.line +
+(abs(b.y - w.first) > 10)::INTEGER FROM w JOIN b ON b.page_id = w.page_id AND b.n = w.n + 1)
 SELECT page_id, line::INTEGER AS line, array_to_string(list(text ORDER BY x, text), ' ') AS text FROM w GROUP BY page_id, line""")
 def lines_of_words(s, d):
     return L.lines_of_words(_boxes(s, d))
 
 
 @query("""WITH h AS (SELECT doc_id, text[1:2000] AS head FROM documents), p AS (SELECT unnest([0, 1]) AS p),
-f AS (SELECT doc_id, p, unnest(CASE p WHEN 0 THEN regexp_extract_all(head, '[A-Za-z][A-Za-z\\s]+:\\s*.+')[1:20] ELSE regexp_extract_all(head, '[A-Za-z][A-Za-z\\s]+\\s{2,}.+')[1:20] END) AS x FROM h, p),
-g AS (SELECT doc_id, CASE p WHEN 0 THEN regexp_extract(x, '([A-Za-z][A-Za-z\\s]+):\\s*(.+)', 1) ELSE regexp_extract(x, '([A-Za-z][A-Za-z\\s]+)\\s{2,}(.+)', 1) END AS key,
-    CASE p WHEN 0 THEN regexp_extract(x, '([A-Za-z][A-Za-z\\s]+):\\s*(.+)', 2) ELSE regexp_extract(x, '([A-Za-z][A-Za-z\\s]+)\\s{2,}(.+)', 2) END AS value FROM f)
-SELECT doc_id, trim(key, ' \t\n\r') AS key, trim(value, ' \t\n\r') AS value FROM g WHERE length(trim(key, ' \t\n\r')) BETWEEN 3 AND 49 AND trim(value, ' \t\n\r') <> ''""".replace("\t", "' || chr(9) || '").replace("\n\r", "' || chr(10) || chr(13) || '"))
+f AS (SELECT doc_id, p, unnest(CASE p WHEN 0 THEN regexp_extract_all(head, '[A-Za-z][A-Za-z\\s]+:\\s*.+')[1:20] ELSE regexp_extract_all(head,
+'[A-Za-z][A-Za-z\\s]+\\s{2,}.+')[1:20] END) AS x FROM h, p),
+g AS (SELECT doc_id, CASE p WHEN 0 THEN regexp_extract(x, '([A-Za-z][A-Za-z\\s]+):\\s*(.+)', 1) ELSE regexp_extract(x,
+'([A-Za-z][A-Za-z\\s]+)\\s{2,}(.+)', 1) END AS key,
+CASE p WHEN 0 THEN regexp_extract(x, '([A-Za-z][A-Za-z\\s]+):\\s*(.+)', 2) ELSE regexp_extract(x, '([A-Za-z][A-Za-z\\s]+)\\s{2,}(.+)', 2) END AS value
+FROM f)
+SELECT doc_id, trim(key, ' \t\n\r') AS key, trim(value, ' \t\n\r') AS value
+FROM g WHERE length(trim(key, ' \t\n\r')) BETWEEN 3 AND 49 AND trim(value, ' \t\n\r') <> ''""".replace("\t", "' || chr(9) || '").replace("\n\r", "' || chr(10) || chr(13) || '"))
 def page_key_values(s, d):
     return t(s, d, "documents").select("doc_id", F.inline(L.key_values("text")))
 
@@ -278,15 +308,20 @@ def page_key_values(s, d):
 # vectors and retrieval
 
 
-@query("""WITH m AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY pos) AS v FROM m GROUP BY label),
-k AS (SELECT a.label AS doc_id, list_cosine_similarity(a.v, b.v) AS sim FROM c a, c b WHERE b.label = 3 AND a.label <> 3 AND list_cosine_similarity(a.v, b.v) >= -0.5 ORDER BY sim DESC, a.label LIMIT 10)
+@query("""WITH m AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos
+FROM embeddings) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY pos) AS v
+FROM m GROUP BY label),
+k AS (SELECT a.label AS doc_id, list_cosine_similarity(a.v, b.v) AS sim
+FROM c a, c b WHERE b.label = 3 AND a.label <> 3 AND list_cosine_similarity(a.v, b.v) >= -0.5
+ORDER BY sim DESC, a.label LIMIT 10)
 SELECT k.doc_id, round(sim, 3) AS similarity, n_chars FROM k LEFT JOIN documents USING (doc_id)""")
 def similar_docs_details(s, d):
     return R.with_details(R.similar(_vectors(s, d), 3, 10, -0.5), t(s, d, "documents"), ["n_chars"])
 
 
 @query("""WITH n AS (SELECT vec_id AS chunk_id, label AS doc_id FROM embeddings WHERE label % 3 <> 0)
-SELECT chunk_id::VARCHAR AS chunk_id, doc_id::BIGINT AS doc_id, FALSE AS fresh FROM n UNION ALL SELECT doc_id || '_0', doc_id, TRUE FROM documents WHERE doc_id % 3 = 0 AND length(text) BETWEEN 20 AND 399 AND text = trim(text)""")
+SELECT chunk_id::VARCHAR AS chunk_id, doc_id::BIGINT AS doc_id, FALSE AS fresh
+FROM n UNION ALL SELECT doc_id || '_0', doc_id, TRUE FROM documents WHERE doc_id % 3 = 0 AND length(text) BETWEEN 20 AND 399 AND text = trim(text)""")
 def index_documents(s, d):
     """Documents come into an index of vectors: their old chunks go, they are cut and embedded anew."""
     docs = t(s, d, "documents").where("doc_id % 3 = 0 AND length(text) BETWEEN 20 AND 399 AND text = trim(text)")
@@ -296,7 +331,9 @@ def index_documents(s, d):
     return R.indexed(old, docs, embed).select("chunk_id", "doc_id", (F.col("content") != "old").alias("fresh"))
 
 
-@query(f"""SELECT chunk_id, round(score, 6) AS score, content FROM (SELECT 'v' || vec_id AS chunk_id, 0.7 * list_cosine_similarity(embedding::DOUBLE[], {_QUERY}::DOUBLE[]) / (SELECT max(list_cosine_similarity(embedding::DOUBLE[], {_QUERY}::DOUBLE[])) FROM embeddings) AS score, 'vector' AS content FROM embeddings ORDER BY score DESC, vec_id LIMIT 5)""")
+@query(f"""SELECT chunk_id, round(score, 6) AS score, content FROM (SELECT 'v' || vec_id AS chunk_id, 0.7 * list_cosine_similarity(embedding::DOUBLE[],
+{_QUERY}::DOUBLE[]) / (SELECT max(list_cosine_similarity(embedding::DOUBLE[], {_QUERY}::DOUBLE[]))
+FROM embeddings) AS score, 'vector' AS content FROM embeddings ORDER BY score DESC, vec_id LIMIT 5)""")
 def hybrid_contents(s, d):
     """The vectors' leg alone weighs here, so that the contents of both legs can be told apart."""
     vectors = R.nearest(_vectors(s, d), _QUERY, 20).select(F.concat(F.lit("v"), F.col("chunk_id").cast("string")).alias("chunk_id"), "score", F.lit("vector").alias("content"))
@@ -304,7 +341,9 @@ def hybrid_contents(s, d):
     return R.hybrid(vectors, words, 5, keyword_weight=0.0).select("chunk_id", F.round("score", 6).alias("score"), "content")
 
 
-@query(f"SELECT chunk_id, round(1.0 - 0.1 * (rank - 1), 6)::DOUBLE AS score FROM (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_QUERY}::DOUBLE[]) DESC, vec_id) AS rank FROM embeddings) WHERE rank <= 5")
+@query(f"""SELECT chunk_id, round(1.0 - 0.1 * (rank - 1), 6)::DOUBLE AS score FROM (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY
+list_cosine_similarity(embedding::DOUBLE[], {_QUERY}::DOUBLE[]) DESC, vec_id) AS rank
+FROM embeddings) WHERE rank <= 5""")
 def rerank_fallback(s, d):
     """A judge that fails leaves the old order."""
     hits = R.nearest(_vectors(s, d), _QUERY, 10).withColumn("content", F.lit("x"))
@@ -315,7 +354,9 @@ def _no_judge(texts):
     raise ConnectionError("no judge")
 
 
-@query("SELECT conv_id, 'Sum up the text below in a few sentences, then list its main points, a line each that starts with a dash.' || chr(10) || chr(10) || 'Text:' || chr(10) || text || chr(10) || chr(10) || 'Summary:' AS prompt FROM conversations WHERE turn = 0")
+@query("""SELECT conv_id, 'Sum up the text below in a few sentences, then list its main points, a line each that starts with a dash.' || chr(10) || chr(10) ||
+'Text:' || chr(10) || text || chr(10) || chr(10) || 'Summary:' AS prompt
+FROM conversations WHERE turn = 0""")
 def summary_prompts(s, d):
     rows = t(s, d, "conversations").where("turn = 0").select("conv_id", F.col("text").alias("context"))
     return R.prompts(rows, kind="summary").select("conv_id", "prompt")
@@ -341,37 +382,46 @@ def row_summaries(s, d):
     return t(s, d, "documents").withColumn("none", F.lit(None).cast("string")).select("doc_id", T.row_summary(["lang", "none", "n_chars"]).alias("summary"))
 
 
-@query("SELECT doc_id, CASE WHEN length(regexp_replace(source || '/' || doc_id, '[^A-Za-z0-9._-]', '', 'g')) > 64 THEN substr(sha256(source || '/' || doc_id), 1, 32) ELSE regexp_replace(source || '/' || doc_id, '[^A-Za-z0-9._-]', '', 'g') END AS id, source = 'src1' AS within FROM documents")
+@query("""SELECT doc_id, CASE WHEN length(regexp_replace(source || '/' || doc_id, '[^A-Za-z0-9._-]', '', 'g')) > 64 THEN substr(sha256(source || '/' || doc_id),
+1, 32) ELSE regexp_replace(source || '/' || doc_id, '[^A-Za-z0-9._-]', '', 'g') END AS id, source = 'src1' AS within
+FROM documents""")
 def safe_ids(s, d):
     path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
     return t(s, d, "documents").select("doc_id", T.safe_id(path).alias("id"), T.within_folder(path, "src1/").alias("within"))
 
 
-@query("SELECT doc_id, n_chars / greatest(doc_id % 4, 1) < 50 OR (doc_id % 3 = 0 AND n_chars / greatest(doc_id % 4, 1) < 500) AS needs, CASE WHEN length(lang || lang) > 1.5 * length(source) THEN lang || lang ELSE source END AS better FROM documents")
+@query("""SELECT doc_id, n_chars / greatest(doc_id % 4, 1) < 50 OR (doc_id % 3 = 0 AND n_chars / greatest(doc_id % 4, 1) < 500) AS needs, CASE WHEN length(lang
+|| lang) > 1.5 * length(source) THEN lang || lang ELSE source END AS better
+FROM documents""")
 def ocr_rules(s, d):
     rows = t(s, d, "documents").withColumns({"pages": F.col("doc_id") % 4, "large": F.col("doc_id") % 3 == 0, "twice": F.concat("lang", "lang")})
     return rows.select("doc_id", T.needs_ocr("n_chars", "pages", "large").alias("needs"), T.better_text("source", "twice").alias("better"))
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS rows FROM documents)
-SELECT doc_id, CASE WHEN len(rows) < 7 THEN array_to_string(rows, chr(10)) ELSE array_to_string(list_filter(rows, lambda x, i: NOT ((i <= 3 OR i > len(rows) - 3) AND (regexp_matches(trim(x), '(?i)^(page\\s+)?\\d+(\\s+of\\s+\\d+)?$') OR regexp_matches(trim(x), '^-\\s*\\d+\\s*-$')))), chr(10)) END AS text FROM l""")
+SELECT doc_id, CASE WHEN len(rows) < 7 THEN array_to_string(rows, chr(10)) ELSE array_to_string(list_filter(rows, lambda x, i: NOT ((i <= 3 OR i >
+len(rows) - 3) AND (regexp_matches(trim(x), '(?i)^(page\\s+)?\\d+(\\s+of\\s+\\d+)?$') OR regexp_matches(trim(x), '^-\\s*\\d+\\s*-$')))), chr(10)) END
+AS text FROM l""")
 def without_header_footer(s, d):
     return t(s, d, "documents").select("doc_id", T.without_header_footer("text").alias("text"))
 
 
-@query("SELECT p_partkey, length(p_type) BETWEEN 1 AND 50 AND regexp_matches(p_type, '^([A-Z][a-z]+|[A-Z_]+$|[\\p{L}\\p{N}_]+\\s[\\p{L}\\p{N}_]+)') AS named, FALSE AS number FROM part")
+@query("""SELECT p_partkey, length(p_type) BETWEEN 1 AND 50 AND regexp_matches(p_type, '^([A-Z][a-z]+|[A-Z_]+$|[\\p{L}\\p{N}_]+\\s[\\p{L}\\p{N}_]+)') AS named,
+FALSE AS number FROM part""")
 def name_like(s, d):
     return t(s, d, "part").select("p_partkey", T.looks_like_name("p_type").alias("named"), T.looks_like_name(F.col("p_size").cast("string")).alias("number"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_filter([CASE WHEN regexp_matches(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}\\b') THEN 'email' END], lambda x: x IS NOT NULL)), ',') AS kinds FROM documents")
+@query("""SELECT doc_id, array_to_string(list_sort(list_filter([CASE WHEN regexp_matches(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}\\b') THEN
+'email' END], lambda x: x IS NOT NULL)), ',') AS kinds FROM documents""")
 def pii_kinds(s, d):
     """Which kinds a text holds, of those that Spark's expressions find by themselves."""
     return t(s, d, "documents").select("doc_id", F.when(P.match_count("text", "email") > 0, "email").otherwise("").alias("kinds"))
 
 
 @query("""WITH x AS (SELECT doc_id, trim(text, ' ') AS text FROM documents WHERE length(text) < 400 AND NOT regexp_matches(text, '^\\s|\\s$'))
-SELECT doc_id, 0 AS chunk_index, text AS content, 0 AS start_char, length(text)::INTEGER AS end_char, doc_id || '_0' AS chunk_id FROM x WHERE length(text) >= 20""")
+SELECT doc_id, 0 AS chunk_index, text AS content, 0 AS start_char, length(text)::INTEGER AS end_char, doc_id || '_0' AS chunk_id
+FROM x WHERE length(text) >= 20""")
 def short_chunks(s, d):
     """Documents under 400 characters are a chunk of their own."""
     docs = t(s, d, "documents").where(~F.col("text").rlike(r"^\s|\s$") & (F.length("text") < 400))
@@ -379,8 +429,10 @@ def short_chunks(s, d):
 
 
 @query("""WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS page_num, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS n,
-    min(l_returnflag) || ' | ' || min(l_linestatus) || chr(10) || repeat('-', 40) || chr(10) || min(l_partkey) || ' | ' || min(l_suppkey) AS t, 'Part: ' || min(l_partkey) AS f FROM lineitem GROUP BY l_orderkey, l_linenumber)
-SELECT doc_id, page_num, (3 * n)::INTEGER AS chunk_index, 'table' AS chunk_type, t AS content, (length(t) // 4)::INTEGER AS token_count, doc_id || '_' || 3 * n || '_table' AS chunk_id FROM p
+min(l_returnflag) || ' | ' || min(l_linestatus) || chr(10) || repeat('-', 40) || chr(10) || min(l_partkey) || ' | ' || min(l_suppkey) AS t, 'Part: '
+|| min(l_partkey) AS f FROM lineitem GROUP BY l_orderkey, l_linenumber)
+SELECT doc_id, page_num, (3 * n)::INTEGER AS chunk_index, 'table' AS chunk_type, t AS content, (length(t) // 4)::INTEGER AS token_count, doc_id || '_'
+|| 3 * n || '_table' AS chunk_id FROM p
 UNION ALL SELECT doc_id, page_num, (3 * n + 1)::INTEGER, 'form', f, (length(f) // 4)::INTEGER, doc_id || '_' || 3 * n + 1 || '_form' FROM p
 UNION ALL SELECT doc_id, page_num, (3 * n + 2)::INTEGER, 'text', trim(repeat('word ', 50)), 62, doc_id || '_' || 3 * n + 2 FROM p""".replace("|| 3 * n ||", "|| (3 * n) ||").replace("|| 3 * n + 1 ||", "|| (3 * n + 1) ||").replace("|| 3 * n + 2 FROM", "|| (3 * n + 2) FROM"))
 def page_chunks(s, d):
@@ -392,7 +444,9 @@ def page_chunks(s, d):
     return C.page_chunks(pages)
 
 
-@query("""WITH r AS (SELECT p_partkey % 40 AS sheet, p_partkey // 40 + 1 AS row, p_partkey % 3 AS kind FROM part), h AS (SELECT sheet, row, row_number() OVER (PARTITION BY sheet ORDER BY row) AS n FROM r WHERE row <= 10 AND kind = 0)
+@query("""WITH r AS (SELECT p_partkey % 40 AS sheet, p_partkey // 40 + 1 AS row, p_partkey % 3 AS kind
+FROM part), h AS (SELECT sheet, row, row_number() OVER (PARTITION BY sheet
+ORDER BY row) AS n FROM r WHERE row <= 10 AND kind = 0)
 SELECT sheet, row FROM h WHERE n <= 3""")
 def header_rows(s, d):
     """Rows of names are headers; rows of numbers and rows that repeat themselves are none."""
@@ -402,7 +456,8 @@ def header_rows(s, d):
     return O.header_rows(rows)
 
 
-@query("""SELECT path, CASE WHEN path % 6 = 0 THEN 'failed' ELSE 'indexed' END AS status, CASE WHEN path % 6 = 0 THEN 'broken ' || path END AS error FROM (SELECT doc_id AS path FROM documents WHERE doc_id % 2 = 0 OR doc_id % 6 = 0)""")
+@query("""SELECT path, CASE WHEN path % 6 = 0 THEN 'failed' ELSE 'indexed' END AS status, CASE WHEN path % 6 = 0 THEN 'broken ' || path END AS error
+FROM (SELECT doc_id AS path FROM documents WHERE doc_id % 2 = 0 OR doc_id % 6 = 0)""")
 def failed_files(s, d):
     at = F.lit("2024-01-01").cast("timestamp")
     files = t(s, d, "documents").select(F.col("doc_id").alias("path"))
@@ -422,7 +477,8 @@ def key_points(s, d):
     return t(s, d, "documents").select("doc_id", F.array_join(T.key_points(answer), "|").alias("points"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN [o_orderkey % 10, 2.5, 3.0]::DOUBLE[] WHEN 1 THEN [o_orderkey % 10, 7.0, 1.5]::DOUBLE[] ELSE [5.0, 5.0, 5.0]::DOUBLE[] END AS scores FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN [o_orderkey % 10, 2.5, 3.0]::DOUBLE[] WHEN 1 THEN [o_orderkey % 10, 7.0, 1.5]::DOUBLE[] ELSE [5.0,
+5.0, 5.0]::DOUBLE[] END AS scores FROM orders""")
 def judged_scores(s, d):
     """A judge's answer as a list, as numbers in a text, and without any."""
     key = F.col("o_orderkey")
@@ -458,3 +514,21 @@ def guardrail_split(s, d):
     good, bad = O.admitted(O.guardrails(t(s, d, "documents"), s=Settings(max_chars=3000)))
     count = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
     return count(good, "admitted").unionByName(count(bad, "held")).where("n > 0")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 AND o_orderstatus IN ('O', 'F') THEN 'cancelled'
+    WHEN o_orderstatus = 'O' THEN 'running' WHEN o_orderstatus = 'F' THEN 'paused' ELSE 'completed' END AS status FROM orders""")
+def sessions_cancelled(s, d):
+    """Only what runs or is paused can be cancelled."""
+    status = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "paused").otherwise("completed")
+    rows = t(s, d, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"))
+    return O.sessions_moved(rows, rows.where("id % 2 = 0"), "cancelled")
+
+
+@query("SELECT p_partkey AS page_id, 'Size' AS label, p_size::VARCHAR AS value FROM part WHERE p_size % 3 <> 0")
+def aligned_fields(s, d):
+    """A label and a value with a wide gap between; words that stand close are none."""
+    box = lambda text, x: F.struct(text.alias("text"), F.lit(float(x)).alias("x"), F.lit(5.0).alias("y"), F.lit(30.0).alias("w"))
+    size = F.col("p_size").cast("string")
+    words = F.when(F.col("p_size") % 3 != 0, F.array(box(size, 200), box(F.lit("Size:"), 0))).otherwise(F.array(box(F.lit("Size:"), 0), box(size, 40)))
+    return L.aligned_rows(t(s, d, "part").select(F.col("p_partkey").alias("page_id"), F.inline(words)))

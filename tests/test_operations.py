@@ -311,3 +311,11 @@ def test_jobs_are_worked_off(spark):
     rounds = O.work_off(read, write, lambda jobs: jobs.select("id", (F.col("id") != 4).alias("ok")), at_once=3)
     got = {r[0]: (r[2], r[3]) for r in held["jobs"]}
     assert rounds >= 3 and got == {i: ("completed", 1) if i != 4 else ("pending", 3) for i in range(7)}
+
+
+def test_sessions_move_by_rule(spark):
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(("running", "paused", "completed", "cancelled"))], "id int, status string")
+    move = lambda to: [r.status for r in sorted(O.sessions_moved(rows, rows, to).collect())]
+    assert move("paused") == ["paused", "paused", "completed", "cancelled"]
+    assert move("running") == ["running", "running", "completed", "cancelled"]
+    assert move("cancelled") == ["cancelled", "cancelled", "completed", "cancelled"]
