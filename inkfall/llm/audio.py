@@ -150,7 +150,8 @@ def _fingerprinted(batches):
 def fingerprint_audio(recordings: DataFrame) -> DataFrame:
     """id, print (array of int) of recordings (id, audio as WAV bytes).
 
-    Null, empty, unreadable and very short recordings have an empty fingerprint.
+    Null, empty, unreadable and very short recordings have an empty fingerprint. Repeated rows have one each; columns with
+    clashing names are no matter, and an empty table gives an empty result.
     """
     ship(recordings.sparkSession)
     return pick(recordings, "id", "audio").withColumn("id", F.col("id").cast("long")).mapInArrow(_fingerprinted, "id long, print array<int>")

@@ -457,6 +457,14 @@ def test_doubles_stay_doubles(spark):
     assert all(got[4 * i].n_links == close[4 * i].sum() for i in range(30)) and sum(got[4 * i + 2].n_links for i in range(30)) >= 29
 
 
+def test_very_long_vectors(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(6, 30_000))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base + rng.normal(size=base.shape) * 0.2]))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (1, i % 6) for i in range(12)}
+
+
 def test_a_dense_cluster_is_counted_in_blocks(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=24)
@@ -802,6 +810,14 @@ def test_audio_matches_equal_brute_force(spark, monkeypatch):
     assert all(r.best_id in want[i] for i, r in got.items() if r.n_matches)
 
 
+def test_very_long_recordings(spark):
+    rng = np.random.default_rng(8)
+    long = rng.integers(-(1 << 31), 1 << 31, 30_000).tolist()
+    rows = [(0, long), (1, long[700:]), (2, [3] * 30_000), (3, [3] * 20_000 + long[:10]), (4, rng.integers(-(1 << 31), 1 << 31, 30_000).tolist())]
+    got = {r.id: r for r in audio.search_audio(spark.createDataFrame(rows, "id long, print array<int>"), query_every=1).collect()}
+    assert [got[i].n_matches for i in range(5)] == [1, 1, 1, 1, 0] and (got[0].best_id, got[0].best_offset, got[0].best_errors) == (1, -700, 0.0)
+
+
 def test_a_held_tone_is_one_run(spark):
     table = spark.createDataFrame([(1, [4] * 5000 + [9]), (2, [4])], "node long, print array<int>")
     assert sorted((r.node, r.pos, r.len) for r in audio._runs(table).collect()) == [(1, 0, 5001 if audio.steady_bits() & 13 == 0 else 5000), *([] if audio.steady_bits() & 13 == 0 else [(1, 5000, 1)]), (2, 0, 1)]
