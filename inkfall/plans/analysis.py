@@ -15,8 +15,8 @@ SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
 def split_terms(c: Column) -> Column:
-    """Terms in order; empty ones, at the edges, stay in the array and are passed over by position."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), SEPARATORS), lambda t: t != "")
+    """Terms in order, without the empty ones at the edges."""
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), SEPARATORS), "")
 
 
 def fold(word: str) -> str:
