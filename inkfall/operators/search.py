@@ -114,11 +114,15 @@ def counted(postings: DataFrame, lengths: DataFrame, at: dict) -> tuple[DataFram
 
 def counted_in_texts(docs: DataFrame, at: dict) -> tuple[DataFrame, DataFrame]:
     """The same without an index: each document is split where it lies, and nothing is shuffled but the corpus's figures."""
-    places = lambda c, t: F.filter(F.transform(f"t_{c}", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull())
+    terms = _terms(at)
+    held = lambda c: F.filter(F.transform(f"t_{c}", lambda x, i: F.when(x.isin(terms), F.struct(x.alias("term"), i.alias("pos")))), lambda h: h.isNotNull())
+    places = lambda c, t: F.transform(F.filter(f"h_{c}", lambda h: h["term"] == t), lambda h: h["pos"])
     rows = docs.select(F.col("id").alias("doc_id"), *[split_terms(F.col(c)).alias(f"t_{c}") for c in INDEX_FIELDS])
+    # one pass over a text's terms, whatever the number of those asked for
+    rows = rows.select("doc_id", reduce(lambda a, b: a + b, [F.size(f"t_{c}") for c in INDEX_FIELDS]).cast("long").alias("dl"), *[held(c).alias(f"h_{c}") for c in INDEX_FIELDS])
     rows = rows.select(
         "doc_id",
-        reduce(lambda a, b: a + b, [F.size(f"t_{c}") for c in INDEX_FIELDS]).cast("long").alias("dl"),
+        "dl",
         F.create_map(*[x for c in INDEX_FIELDS for t in _terms(at) for x in (F.lit(f"{c}:{t}"), places(c, t))]).alias("spots") if _terms(at) else F.create_map().cast("map<string,array<int>>").alias("spots"),
     )
     found = rows.select("doc_id", "dl", *[_counts(x, F.col("spots")).alias(c) for x, c in at.items()])
