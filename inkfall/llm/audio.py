@@ -25,8 +25,8 @@ LOWEST_HZ, HIGHEST_HZ = 200.0, 1900.0
 STEP, FLOOR = 0.35, 1e-3
 #: Share of differing bits that a match may have, and the queries.
 MAX_ERRORS, QUERY_EVERY = 0.15, 50
-#: Runs of a key that are joined together in one task, on either side.
-TOGETHER = 2048
+#: Frames of the recordings that are compared together, on either side, and pairs of runs of them at once.
+TOGETHER, AT_ONCE = 65_536, 1 << 18
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -171,27 +171,146 @@ def _runs(prints: DataFrame) -> DataFrame:
     return by_key.select("node", F.explode(F.transform("starts", run)).alias("r")).select("node", "r.*")
 
 
-def _hits(runs: DataFrame, asked: DataFrame) -> DataFrame:
-    """q, node, shift, n: how many frames of a recording and a query have one key at each shift.
+def _in_runs(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Recording, pos, len, key of the runs of equal keys in fingerprints that follow one another, as _runs has them."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    key = flat & np.int32(steady_bits())
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]))
+    return owner[first], first - (np.cumsum(sizes) - sizes)[owner[first]], np.diff(np.append(first, len(flat))), key[first]
 
-    Both sides of a frequent key are cut into blocks, and each pair of blocks is joined on its own.
-    """
-    blocks = lambda side, name: side.groupBy("key").agg(F.ceil(F.count("*") / F.lit(float(TOGETHER))).cast("int").alias(name))
-    many = blocks(runs, "all").join(blocks(asked, "ask"), "key").where("all > 1 OR ask > 1")
-    many = written(many.withColumnRenamed("key", "often"), "often")
-    one = F.lit(1)
 
-    def dealt(side, own, other):
-        side = side.join(many, F.col("key") == F.col("often"), "left").withColumns({"all": F.coalesce("all", one), "ask": F.coalesce("ask", one)})
-        side = side.withColumn(f"{own}_block", F.pmod(F.xxhash64(F.lit(3), "node", "pos"), F.col(own)).cast("int"))
-        return side.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("all", "ask", "often")
+def _best_shifts(asked: tuple[np.ndarray, np.ndarray, np.ndarray], heard: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    """Arrays (query, recording, shift) of the pairs that share a key, each pair once; of nodes, sizes and flat prints on either side.
 
-    mine = dealt(asked, "ask", "all").select(F.col("node").alias("q"), F.col("pos").alias("at"), F.col("len").alias("held"), F.col("key").alias("k"), F.col("all_block").alias("ab"), F.col("ask_block").alias("qb"))
-    met = dealt(runs, "all", "ask").join(mine, (F.col("key") == F.col("k")) & (F.col("all_block") == F.col("ab")) & (F.col("ask_block") == F.col("qb")) & (F.col("node") != F.col("q")))
-    # two runs share a key at all shifts at which they overlap
-    met = met.withColumn("d", F.explode(F.sequence(1 - F.col("held"), F.col("len") - 1)))
-    n = F.least("len", "held", F.col("len") - F.col("d"), F.col("held") + F.col("d"))
-    return met.select("q", "node", (F.col("pos") - F.col("at") + F.col("d")).alias("shift"), n.cast("long").alias("n"))
+    Two runs share a key at all shifts at which they overlap: their part of the histogram rises by one a shift,
+    stays and falls. Only these four bends are kept of it, so the histogram of a pair is summed up from bends and
+    has its largest place at one of them, or at zero between two.
+    """
+    (q_nodes, q_sizes, q_flat), (x_nodes, x_sizes, x_flat) = asked, heard
+    q_own, q_pos, q_len, q_key = _in_runs(q_flat, q_sizes)
+    order = np.argsort(q_key, kind="stable")
+    q_own, q_pos, q_len, q_key = q_own[order], q_pos[order], q_len[order], q_key[order]
+    x_own, x_pos, x_len, x_key = _in_runs(x_flat, x_sizes)
+    lo = np.searchsorted(q_key, x_key, side="left")
+    many = np.searchsorted(q_key, x_key, side="right") - lo
+    low, span = int(q_sizes.max()), int(q_sizes.max() + x_sizes.max()) + 1
+    met = np.concatenate([[0], np.cumsum(many)])
+    code, bend, start = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    while start < len(x_own):
+        stop = max(start + 1, int(np.searchsorted(met, met[start] + AT_ONCE, side="right")) - 1)
+        x = np.repeat(np.arange(start, stop), many[start:stop])
+        q = np.arange(len(x)) - (met[x] - met[start]) + lo[x]
+        other = x_nodes[x_own[x]] != q_nodes[q_own[q]]
+        x, q = x[other], q[other]
+        pair = (x_own[x] * len(q_nodes) + q_own[q]) * span + low
+        held, length, at = q_len[q], x_len[x], x_pos[x] - q_pos[q]
+        bends = [at - held, at - held + np.minimum(held, length), at - held + np.maximum(held, length), at + length]
+        code = np.concatenate([code, *[pair + s for s in bends]])
+        bend = np.concatenate([bend, *[np.full(len(x), way) for way in (1, -1, -1, 1)]])
+        code, place = np.unique(code, return_inverse=True)
+        bend = np.bincount(place, bend, len(code)).astype(np.int64)
+        # the last recording may go on in the next piece
+        done = len(code) if stop == len(x_own) else int(np.searchsorted(code, x_own[stop] * len(q_nodes) * span))
+        if done:
+            pairs, shift = code[:done] // span, code[:done] % span - low
+            slope = np.cumsum(bend[:done])
+            n = np.concatenate([[0], np.cumsum(slope[:-1] * np.diff(shift))])
+            flat = np.flatnonzero((slope[:-1] == 0) & (pairs[1:] == pairs[:-1]) & (shift[:-1] < 0) & (shift[1:] > 0))
+            pairs, n, shift = np.concatenate([pairs, pairs[flat]]), np.concatenate([n, n[flat]]), np.concatenate([shift, np.zeros(len(flat), np.int64)])
+            order = np.lexsort((shift, -np.abs(shift), n, pairs))
+            pairs, shift = pairs[order], shift[order]
+            last = np.flatnonzero(np.concatenate([pairs[1:] != pairs[:-1], [True]]))
+            yield pairs[last] % len(q_nodes), pairs[last] // len(q_nodes), shift[last]
+        code, bend, start = code[done:], bend[done:], stop
+
+
+def _told(group: pa.Table, max_errors: float) -> pa.RecordBatch:
+    """q, others, errors, id, shift: how many recordings of a block align with each of its queries, and the best."""
+    asks = group["asked"].to_numpy()
+    sides = []
+    for side in (group.filter(pa.array(asks)), group.filter(pa.array(~asks))):
+        prints = side["print"].combine_chunks()
+        sides.append((side["node"].to_numpy(), np.diff(prints.offsets.to_numpy()).astype(np.int64), prints.flatten().to_numpy().astype(np.int32, copy=False), side["copies"].to_numpy()))
+    (q_nodes, q_sizes, q_flat, _), (x_nodes, x_sizes, x_flat, copies) = sides
+    others, best = np.zeros(len(q_nodes), np.int64), [np.full(len(q_nodes), np.inf), np.zeros(len(q_nodes), np.int64), np.zeros(len(q_nodes), np.int64)]
+    q_from, x_from = np.cumsum(q_sizes) - q_sizes, np.cumsum(x_sizes) - x_sizes
+    for q, x, shift in _best_shifts(sides[0][:3], sides[1][:3]) if len(q_nodes) and len(x_nodes) else ():
+        shorter = np.minimum(q_sizes[q], x_sizes[x])
+        overlap = np.minimum(np.minimum(q_sizes[q] + np.minimum(shift, 0), x_sizes[x] - np.maximum(shift, 0)), shorter)
+        long = (overlap > 0) & (overlap * 2 >= shorter)
+        q, x, shift, overlap = q[long], x[long], shift[long], overlap[long]
+        ends, lo = np.cumsum(overlap), 0
+        while lo < len(q):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + 4 * AT_ONCE)))
+            some = overlap[lo:hi]
+            first = np.cumsum(some) - some
+            k = np.arange(int(some.sum())) - np.repeat(first, some)
+            mine = q_flat[k + np.repeat(q_from[q[lo:hi]] + np.maximum(-shift[lo:hi], 0), some)]
+            theirs = x_flat[k + np.repeat(x_from[x[lo:hi]] + np.maximum(shift[lo:hi], 0), some)]
+            bits = np.add.reduceat(np.bitwise_count((mine ^ theirs).view(np.uint32)).astype(np.int64), first)
+            errors = bits / (some * 32.0)
+            ok = errors <= max_errors
+            a, b, errors, moved = q[lo:hi][ok], x[lo:hi][ok], errors[ok], shift[lo:hi][ok]
+            np.add.at(others, a, copies[b])
+            order = np.lexsort((moved, x_nodes[b], errors, a))
+            order = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])] if len(a) else order
+            new = [errors[order], x_nodes[b[order]], moved[order]]
+            a = a[order]
+            better = (new[0] < best[0][a]) | (new[0] == best[0][a]) & ((new[1] < best[1][a]) | (new[1] == best[1][a]) & (new[2] < best[2][a]))
+            for had, got in zip(best, new, strict=True):
+                had[a[better]] = got[better]
+            lo = hi
+    some = others > 0
+    return pa.RecordBatch.from_arrays([pa.array(v[some]) for v in (q_nodes, others, *best)], names=["q", "others", "errors", "id", "shift"])
+
+
+def _compared(max_errors: float):
+    """What _told has of each block, for rows in the order of their blocks."""
+    keys = ("cell", "sub", "part")
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            key = np.stack([t[c].to_numpy() for c in keys], axis=1)
+            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(t) else np.zeros(1, np.int64)
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                yield _told(t.slice(lo, hi - lo), max_errors)
+            # the last block may go on in the next batch
+            rest = t.slice(int(edge[-1]))
+        if rest is not None and len(rest):
+            yield _told(rest, max_errors)
+
+    return run
+
+
+def _aligned(reps: DataFrame, max_errors: float) -> DataFrame:
+    """q, others, errors, id, shift: a query's recordings that align, by blocks; no row is made of a pair.
+
+    Queries are dealt into blocks, likes into one where they can be. A recording goes once to each block of queries
+    with one of which it shares a key, and there into a part; so a pair meets once, with both whole fingerprints.
+    """
+    mask = steady_bits()
+    dealt = lambda salt, many: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(many)).cast("int")
+    # as many as the frames ask for, but no more than there are recordings
+    blocks = lambda name: F.least(F.count("*"), F.ceil(F.sum(F.size("print")) / F.lit(float(TOGETHER)))).cast("int").alias(name)
+    asked = reps.where("asks IS NOT NULL")
+    cells = asked.agg(blocks("cells")).first()["cells"] or 1
+    least = F.array_min(F.transform("print", lambda v: F.xxhash64(F.lit(7), v.bitwiseAND(F.lit(mask)))))
+    asked = asked.select("node", "copies", "print", F.pmod(least, F.lit(cells)).cast("int").alias("cell"))
+    asked = asked.join(asked.groupBy("cell").agg(blocks("subs")), "cell").withColumn("sub", dealt(3, "subs")).drop("subs")
+    asked = written(asked, "asked")
+    runs = written(_runs(reps).select("node", "key"), "runs")
+    wanted = runs.join(asked.select("node", "cell", "sub"), "node").select("key", "cell", "sub").distinct()
+    visits = runs.join(wanted, "key").select("node", "cell", "sub").distinct()
+    visits = written(visits.join(reps.select("node", "copies", "print"), "node"), "visits")
+    parts = written(visits.groupBy("cell", "sub").agg(blocks("parts")), "parts")
+    columns = ("cell", "sub", "part", "node", "copies", "asked", "print")
+    mine = asked.join(parts, ["cell", "sub"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asked", F.lit(True))
+    theirs = visits.join(parts, ["cell", "sub"]).withColumn("part", dealt(5, "parts")).withColumn("asked", F.lit(False))
+    met = mine.select(*columns).union(theirs.select(*columns)).repartition("cell", "sub", "part").sortWithinPartitions("cell", "sub", "part")
+    return met.mapInArrow(_compared(max_errors), "q long, others long, errors double, id long, shift long")
 
 
 def search_audio(prints: DataFrame, query_every: int = QUERY_EVERY, max_errors: float = MAX_ERRORS) -> DataFrame:
@@ -200,31 +319,18 @@ def search_audio(prints: DataFrame, query_every: int = QUERY_EVERY, max_errors:
     Queries are the rows whose id is divisible by query_every; they are held against all rows. n_matches
     counts the other recordings that align, over half of the shorter one at least, with at most max_errors
     of the bits differing; the best has the fewest, then the least id. Equal fingerprints are searched once and all count as matches. Recordings
-    with an empty fingerprint match nothing; neither does a null id. Of rows that share an id each has a
+    with an empty fingerprint, or one that holds a null, match nothing; neither does a null id. Of rows that share an id each has a
     row, and they count as one recording. A pair is compared at the shift at which most keys agree. Columns with
     clashing names are no matter; an empty table gives an empty result.
     """
+    ship(prints.sparkSession)
     prints = pick(prints, "id", "print")
-    prints = written(prints.withColumn("hash", F.when((F.size("print") > 0) & F.col("id").isNotNull(), F.xxhash64("print"))), "prints")
+    prints = written(prints.withColumn("hash", F.when((F.size("print") > 0) & F.forall("print", lambda v: v.isNotNull()) & F.col("id").isNotNull(), F.xxhash64("print"))), "prints")
     members = prints.where("hash IS NOT NULL").groupBy("hash", "id").agg(F.min("print").alias("print"))
     reps = members.groupBy("hash").agg(F.count("*").alias("copies"), F.min("id").alias("node"), F.min(F.when(F.pmod("id", F.lit(query_every)) == 0, F.col("id"))).alias("asks"), F.min("print").alias("print"))
     second = members.groupBy("hash").agg(F.max("id").alias("last"))
     reps = written(reps.join(second, "hash"), "reps")
-    runs = written(_runs(reps), "runs")
-    asked = runs.join(reps.where("asks IS NOT NULL").select(F.col("node").alias("asks")), F.col("node") == F.col("asks"), "left_semi")
-    histogram = _hits(runs, asked).groupBy("q", "node", "shift").agg(F.sum("n").alias("n"))
-    best = histogram.groupBy("q", "node").agg(F.max(F.struct("n", (-F.abs("shift")).alias("near"), "shift"))["shift"].alias("shift"))
-    mine = reps.select(F.col("node").alias("qn"), F.col("print").alias("mine"))
-    theirs = reps.select(F.col("node").alias("tn"), F.col("print").alias("theirs"), "copies")
-    pairs = best.join(mine, F.col("q") == F.col("qn")).join(theirs, F.col("node") == F.col("tn"))
-    overlap = F.least(F.size("mine") + F.least("shift", F.lit(0)), F.size("theirs") - F.greatest("shift", F.lit(0)))
-    overlap = F.least(overlap, F.size("mine"), F.size("theirs"))
-    pairs = pairs.withColumn("overlap", overlap).where(F.col("overlap") * 2 >= F.least(F.size("mine"), F.size("theirs")))
-    a = F.slice("mine", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.col("overlap"))
-    b = F.slice("theirs", F.greatest("shift", F.lit(0)) + 1, F.col("overlap"))
-    errors = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))), F.lit(0), lambda s, x: s + x) / (F.col("overlap") * 32.0)
-    found = pairs.where("overlap > 0").withColumn("errors", errors).where(F.col("errors") <= max_errors)
-    per = found.groupBy("q").agg(F.sum("copies").alias("others"), F.min(F.struct("errors", F.col("node").alias("id"), "shift")).alias("top"))
+    per = _aligned(reps, max_errors).groupBy("q").agg(F.sum("others").alias("others"), F.min(F.struct("errors", "id", "shift")).alias("top"))
     told = reps.select("hash", "node", "copies", "last").join(per, F.col("node") == F.col("q"), "left").select(F.col("hash").alias("h"), "node", "copies", "last", "others", "top")
     out = prints.join(told, F.col("hash") == F.col("h"), "left")
     is_query = F.coalesce(F.pmod("id", F.lit(query_every)) == 0, F.lit(False))

@@ -810,6 +810,60 @@ def test_audio_matches_equal_brute_force(spark, monkeypatch):
     assert all(r.best_id in want[i] for i, r in got.items() if r.n_matches)
 
 
+def rows_made(spark, run):
+    """The most rows that a join or a Generate makes in any of the plans that run."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, most = store.executionsCount(), 0
+    out = run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    for i in range(store.executionsList().size()):
+        e = store.executionsList().apply(i)
+        if i >= before:
+            values, nodes = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                    if re.search("Join|Generate", node.name()) and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return out, most
+
+
+def test_audio_makes_no_rows_of_pairs(spark):
+    rng = random.Random(4)
+    base = [rng.randrange(-(1 << 31), 1 << 31) for _ in range(40)]
+    prints = {i: [x ^ sum(rng.random() < 0.01 and 1 << b for b in range(31)) for x in base] for i in range(80)}
+    table = spark.createDataFrame(list(prints.items()), "id long, print array<int>")
+    got, made = rows_made(spark, lambda: {r.id: r.n_matches for r in audio.search_audio(table, query_every=1).collect()})
+    assert got == {i: len(x) for i, x in brute_matches(prints, 1).items()} and sum(got.values()) > 6000
+    assert 0 < made <= 80 * 40  # at most a row for each frame
+
+
+def test_audio_blocks_find_the_best_shifts(monkeypatch):
+    """Long held tones, silence on either side, one id on two recordings, and pieces that end within a recording."""
+    rng = random.Random(9)
+    tone = lambda: [rng.choice([0, 1 << 1, 1 << 3])] * rng.choice([1, 1, 2, 9, 30])
+    prints = [sum((tone() for _ in range(rng.randrange(1, 9))), []) for _ in range(40)] + [[0] * 50, [0] * 51, [0] * 3]
+    nodes = [*range(len(prints) - 1), 0]
+    mask = audio.steady_bits()
+    want = {}
+    for q, a in enumerate(prints[::3]):
+        for x, b in enumerate(prints):
+            shifts = collections.Counter(p - k for k, v in enumerate(a) for p, w in enumerate(b) if (v ^ w) & mask == 0)
+            if shifts and nodes[::3][q] != nodes[x]:
+                want[q, x] = max(shifts, key=lambda s: (shifts[s], -abs(s), s))
+    side = lambda some, ids: (np.array(ids), np.array([len(x) for x in some]), np.array(sum(some, []), dtype=np.int32))
+    for at_once in (1, 50, 1 << 18):
+        monkeypatch.setattr(audio, "AT_ONCE", at_once)
+        got = [(int(q), int(x), int(s)) for found in audio._best_shifts(side(prints[::3], nodes[::3]), side(prints, nodes)) for q, x, s in zip(*found, strict=True)]
+        assert len(got) == len(want) and {(q, x): s for q, x, s in got} == want
+
+
+def test_audio_odd_fingerprints(spark):
+    rows = [(0, [5, 6, 7]), (1, [5, None, 7]), (2, []), (3, None), (None, [5, 6, 7]), (4, [5, 6, 7, 8])]
+    got = {r.id: r for r in audio.search_audio(spark.createDataFrame(rows, "id long, print array<int>"), query_every=1).collect()}
+    assert len(got) == 6 and (got[0].n_matches, got[0].best_id, got[4].n_matches) == (1, 4, 1)
+    assert [got[i].n_matches for i in (1, 2, 3, None)] == [None] * 4
+
+
 def test_very_long_recordings(spark):
     rng = np.random.default_rng(8)
     long = rng.integers(-(1 << 31), 1 << 31, 30_000).tolist()
